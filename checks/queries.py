@@ -12,6 +12,7 @@ from checks import views
 from checks.tables import MONTHS, Tables
 from shopledger.operators import by_key, top_k
 from shopledger.plans import ladder, mrp, platform, production, purchasing, sales
+from shopledger.session import landed
 from shopledger.sources.downtime import flatten_downtime
 from shopledger.sources.ladders import load_plan_ladder, load_sales_ladder
 from shopledger.sources.mrp import MrpTables, flatten_mrp
@@ -146,7 +147,7 @@ def prod_jobs_by_shift(t: Tables) -> DataFrame:
 
 @_query
 def prod_downtime_flatten(t: Tables) -> DataFrame:
-    flat = flatten_downtime(t.downtime_lines())
+    flat = flatten_downtime(landed(t.downtime_lines(), "downtime"))
     return flat.select("file", "wc", "downtime_h", "reason_id")
 
 
@@ -183,7 +184,7 @@ def plan_detail(t: Tables) -> DataFrame:
 
 
 def _flat_mrp(t: Tables, run: str) -> MrpTables:
-    return flatten_mrp(t.mrp_cells(run), header_rows=0)
+    return flatten_mrp(landed(t.mrp_cells(run), f"mrp-{run}"), header_rows=0)
 
 
 def _enriched(t: Tables, run: str) -> DataFrame:
@@ -313,7 +314,7 @@ def mrp_alert_counts(t: Tables) -> DataFrame:
 
 @_query
 def ladder_amounts(t: Tables) -> DataFrame:
-    return load_sales_ladder(t.sales_ladder_cells())
+    return load_sales_ladder(landed(t.sales_ladder_cells(), "sales-ladder"))
 
 
 @_query
@@ -497,7 +498,7 @@ def purchase_month_type(t: Tables) -> DataFrame:
 
 @_query
 def ladder_long(t: Tables) -> DataFrame:
-    return load_plan_ladder(t.plan_ladder_cells()).drop("row_no")
+    return load_plan_ladder(landed(t.plan_ladder_cells(), "plan-ladder")).drop("row_no")
 
 
 @_query

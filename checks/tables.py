@@ -32,7 +32,7 @@ class Tables:
         return self.spark.sql(text, **used)
 
     def view(self, view: views.View, *columns: str) -> DataFrame:
-        return self.sql(view.sql(columns or None))
+        return self.sql(view.sql(columns or [*view.columns, *view.extra]))
 
     def timecards(self, *columns: str, ordered: bool = False) -> DataFrame:
         extra = tuple(views.LINE_ORDER) if ordered else ()
@@ -201,12 +201,12 @@ def _cells(filled: dict):
 
 
 def _by_month(lines: DataFrame, keys: list[str], measure: str, months: list) -> DataFrame:
-    month = F.date_format("on_date", "yyyy-MM-01").alias("month")
+    month = month_start(F.col("on_date")).alias("month")
     return (
         lines.groupBy(*keys, month)
         .agg(exact_sum(F.col(measure)).alias("v"))
         .groupBy(*keys)
-        .pivot("month", [m.isoformat() for m in months])
+        .pivot("month", months)
         .agg(F.first("v"))
     )
 

@@ -13,17 +13,18 @@ NULL_TOKENS = ("-", "N/A", "nan", "None", "NaT")
 # The date layouts tried in order when a caller names none.
 ISO_FORMATS = ("yyyy-MM-dd[ HH:mm[:ss]]", "yyyy-MM-dd'T'HH:mm:ss")
 
-_PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Characters that count as whitespace around a cell.
+WHITESPACE = " \t\n\r\f\v\u00a0\u2007\u202f\u3000"
 
 
 def strip_ws(c: Column) -> Column:
     """Trim every kind of whitespace; Spark's own ``trim`` removes spaces only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_header(c: Column) -> Column:
     """Collapse whitespace runs (line breaks included) and trim a header cell."""
-    return F.btrim(F.regexp_replace(c, r"\s+", " "))
+    return strip_ws(F.regexp_replace(c, r"\s+", " "))
 
 
 def clean_cell(c: Column) -> Column:
@@ -35,12 +36,13 @@ def clean_cell(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Text to double; anything that is not a plain finite number becomes null.
 
-    The pattern keeps out what the JVM parser would accept but a spreadsheet
-    number is not: type suffixes (``1d``), hexadecimal floats, NaN and infinity.
+    Also null are texts the JVM parser accepts but a spreadsheet number is not: type
+    suffixes (``1d``), hexadecimal floats, NaN and infinity.
     """
-    text = strip_ws(c.cast("string"))
-    number = F.when(text.rlike(_PLAIN_NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    text = c.cast("string")
+    number = text.try_cast("double")
+    finite = F.abs(number) < F.lit(float("inf"))
+    return F.when(finite & ~text.rlike("[dDfFxX]"), number)
 
 
 def to_time(c: Column, formats: Sequence[str] = ISO_FORMATS) -> Column:

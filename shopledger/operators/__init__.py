@@ -13,7 +13,6 @@ from shopledger.operators.filters import (
     equal_to,
     in_list,
     option_rows,
-    option_times,
 )
 from shopledger.operators.grid import dense_fill, month_spine, observed
 from shopledger.operators.ordered import forward_fill, keep_first, number_rows
@@ -35,7 +34,6 @@ __all__ = [
     "number_rows",
     "observed",
     "option_rows",
-    "option_times",
     "share_of_total",
     "side_by_side",
     "sorted_by",

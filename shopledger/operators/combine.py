@@ -54,12 +54,13 @@ def keys_only_in_first(first: DataFrame, second: DataFrame, key: str) -> DataFra
 def share_of_total(df: DataFrame, measures: Mapping[str, str]) -> DataFrame:
     """Add each measure's share of its column total.
 
-    The total is a one-row scalar subquery over the already grouped rows, so no
-    window has to gather them in one task.
+    The totals are one scalar subquery over the already grouped rows. It reads the
+    same shuffle as the rows themselves, and no window gathers them in one task.
     """
     totals = df.agg(*[exact_sum(F.col(m)).alias(m) for m in measures])
+    total = totals.select(F.struct(*measures)).scalar()
     shares = {
-        share: F.try_divide(F.col(m), totals.select(m).scalar()) for m, share in measures.items()
+        share: F.try_divide(F.col(m), total.getField(m)) for m, share in measures.items()
     }
     return df.withColumns(shares)
 

@@ -76,34 +76,51 @@ def selected(column: str, values: Iterable | None) -> Column:
     return F.coalesce(F.col(column).isin(list(values)), F.lit(False))
 
 
-def option_rows(df: DataFrame, options: Mapping[str, tuple[str, Column]]) -> DataFrame:
-    """Several distinct lists in one pass, as ``(option, value)`` rows.
+def option_rows(
+    df: DataFrame,
+    options: Mapping[str, tuple[str, Column]],
+    times: tuple[str, Column],
+) -> DataFrame:
+    """Several distinct lists and the day bounds of a time column in one pass.
 
-    ``options`` maps a list's name to its column and to the condition under which
-    a row contributes. Every row is expanded in memory and reduced to distinct
-    values before the single shuffle.
+    The result has rows ``(option, value)``. ``options`` maps a list's name to its
+    column and to the condition under which a row contributes; ``times`` is the time
+    column and its condition, reported as ``date_min`` and ``date_max``. Rows are
+    expanded in memory and reduced before the only shuffle.
     """
+    no_text, no_day = F.lit(None).cast("string"), F.lit(None).cast("date")
     entries = [
-        F.when(condition, F.struct(F.lit(name).alias("option"), F.col(c).alias("value")))
+        F.when(
+            condition & F.col(c).isNotNull(),
+            F.struct(
+                F.lit(name).alias("option"),
+                F.col(c).cast("string").alias("value"),
+                no_day.alias("day"),
+            ),
+        )
         for name, (c, condition) in options.items()
     ]
-    return (
+    day = F.to_date(times[0])
+    entries.append(
+        F.when(
+            times[1] & day.isNotNull(),
+            F.struct(F.lit("date").alias("option"), no_text.alias("value"), day.alias("day")),
+        )
+    )
+    grouped = (
         df.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.option", "e.value")
-        .where(F.col("value").isNotNull())
-        .distinct()
+        .where("e IS NOT NULL")
+        .groupBy("e.option", "e.value")
+        .agg(F.min("e.day").alias("lo"), F.max("e.day").alias("hi"))
     )
+    bounds = F.array(_option("date_min", F.col("lo")), _option("date_max", F.col("hi")))
+    listed = F.array(F.struct("option", "value"))
+    rows = F.when(F.col("option") == "date", bounds).otherwise(listed)
+    return grouped.select(F.inline(rows))
 
 
-def option_times(df: DataFrame, column: str, condition: Column) -> DataFrame:
-    """Smallest and largest day of a column as two ``(option, value)`` rows."""
-    days = df.where(condition).agg(
-        F.min(column).cast("date").cast("string").alias("date_min"),
-        F.max(column).cast("date").cast("string").alias("date_max"),
-    )
-    return days.unpivot([], ["date_min", "date_max"], "option", "value").where(
-        F.col("value").isNotNull()
-    )
+def _option(name: str, day: Column) -> Column:
+    return F.struct(F.lit(name).alias("option"), day.cast("string").alias("value"))
 
 
 def date_bounds(df: DataFrame, column: str) -> DataFrame:

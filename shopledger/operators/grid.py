@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def month_spine(months: DataFrame, column: str) -> Column:
-    """Every month from the first to the last one, as a scalar array of dates."""
-    spine = F.sequence(F.min(column), F.max(column), F.expr("INTERVAL 1 MONTH"))
-    return months.agg(spine.alias("spine")).scalar()
+def month_spine(rows: DataFrame, month: Column) -> Column:
+    """Every month from the first to the last one, as a scalar array of dates.
+
+    Reads nothing but the month column of the rows.
+    """
+    spine = F.sequence(F.min(month), F.max(month), F.expr("INTERVAL 1 MONTH"))
+    return rows.agg(spine.alias("spine")).scalar()
 
 
 def observed(periods: DataFrame, column: str) -> Column:

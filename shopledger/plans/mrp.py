@@ -16,7 +16,6 @@ from shopledger.operators import (
     in_list,
     keys_only_in_first,
     option_rows,
-    option_times,
     side_by_side,
 )
 from shopledger.operators.filters import Dates
@@ -97,7 +96,7 @@ def filter_options(
     by_type = _chosen("type", type_)
     by_vendor = by_type & _chosen("vendor", vendor)
     by_po = by_vendor & _chosen("po_number", po)
-    lists = option_rows(
+    return option_rows(
         both,
         {
             "type": ("type", F.lit(True)),
@@ -105,8 +104,8 @@ def filter_options(
             "po": ("po_number", by_vendor),
             "item": ("item", by_po),
         },
+        ("arrival_date", F.lit(True)),
     )
-    return lists.unionByName(option_times(both, "arrival_date", F.lit(True)))
 
 
 def select_po(po: DataFrame, type_: str, vendor: str, po_no: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions import exact_sum
-from shopledger.operators import date_range, in_list, option_rows, option_times, share_of_total
+from shopledger.operators import date_range, in_list, option_rows, share_of_total
 from shopledger.operators.filters import Dates, selected
 
 
@@ -29,10 +29,8 @@ def filter_platform_orders(
 def platform_options(orders: DataFrame, platforms: Sequence[str] | None = None) -> DataFrame:
     """Platforms, and the destinations and date bounds of the chosen ones."""
     chosen = selected("platform", platforms)
-    lists = option_rows(
-        orders, {"platform": ("platform", F.lit(True)), "ship_to": ("ship_to", chosen)}
-    )
-    return lists.unionByName(option_times(orders, "wanted_on", chosen))
+    lists = {"platform": ("platform", F.lit(True)), "ship_to": ("ship_to", chosen)}
+    return option_rows(orders, lists, ("wanted_on", chosen))
 
 
 def by_platform(orders: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from shopledger.operators import (
     in_list,
     month_spine,
     option_rows,
-    option_times,
 )
 from shopledger.operators.filters import Dates, selected
 
@@ -51,11 +50,11 @@ def purchase_options(
     by_type = selected("type", types)
     by_vendor = by_type & selected("vendor", vendors)
     by_po = by_vendor & selected("po", pos)
-    lists = option_rows(
+    return option_rows(
         forecast,
         {"type": ("type", F.lit(True)), "vendor": ("vendor", by_type), "po": ("po", by_vendor)},
+        ("wanted_on", by_po),
     )
-    return lists.unionByName(option_times(forecast, "wanted_on", by_po))
 
 
 def purchase_totals(forecast: DataFrame) -> DataFrame:
@@ -92,15 +91,16 @@ def calendar(
 
     Long form; ``is_total`` tells the totals apart from a type of the same name.
     """
-    rows = _with_totals(_monthly(forecast, years, types))
-    first_months = F.array_sort(F.collect_set(F.trunc("month", "year")))
+    chosen = _chosen(forecast, years, types)
+    rows = _with_totals(_monthly(chosen))
+    first_months = F.array_sort(F.collect_set(F.trunc("wanted_on", "year")))
     twelve = F.flatten(
         F.transform(
             first_months,
             lambda d: F.sequence(d, F.add_months(d, 11), F.expr("INTERVAL 1 MONTH")),
         )
     )
-    spine = rows.agg(twelve.alias("spine")).scalar()
+    spine = chosen.agg(twelve.alias("spine")).scalar()
     filled = dense_fill(rows, ["is_total", "type"], "month", ["quantity"], spine)
     month = F.col("month")
     return filled.select(
@@ -118,7 +118,7 @@ def calendar_wide(
 ) -> DataFrame:
     """The calendar with one ``yyyy-MM`` column per month of the given years."""
     columns = [f"{y:04d}-{m:02d}" for y in sorted(years) for m in range(1, 13)]
-    rows = _with_totals(_monthly(forecast, years, types))
+    rows = _with_totals(_monthly(_chosen(forecast, years, types)))
     wide = (
         rows.withColumn("month", F.date_format("month", "yyyy-MM"))
         .groupBy("is_total", "type")
@@ -134,16 +134,21 @@ def month_type_series(
     types: Sequence[str] | None = None,
 ) -> DataFrame:
     """Quantity for every month from first to last and every type."""
-    monthly = _monthly(forecast, years, types)
-    return dense_fill(monthly, ["type"], "month", ["quantity"], month_spine(monthly, "month"))
+    chosen = _chosen(forecast, years, types)
+    spine = month_spine(chosen, month_start(F.col("wanted_on")))
+    return dense_fill(_monthly(chosen), ["type"], "month", ["quantity"], spine)
 
 
-def _monthly(
+def _chosen(
     forecast: DataFrame, years: Sequence[int] | None, types: Sequence[str] | None
 ) -> DataFrame:
     rows = in_list(forecast, "type", types).dropna(subset=["type", "wanted_on"])
     if years is not None:
         rows = rows.where(F.year("wanted_on").isin(list(years)))
+    return rows
+
+
+def _monthly(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type", month_start(F.col("wanted_on")).alias("month")).agg(
         exact_sum(F.col("quantity")).alias("quantity")
     )

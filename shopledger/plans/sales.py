@@ -35,7 +35,8 @@ def ladder_by_month(ladder: DataFrame, customers: Sequence[str] | None = None) -
     monthly = rows.groupBy(month_start(F.col("month")).alias("month")).agg(
         exact_sum(F.col("amount")).alias("amount")
     )
-    filled = _every_month(monthly, "month", ["amount"])
+    spine = month_spine(rows, month_start(F.col("month")))
+    filled = _every_month(monthly, "month", ["amount"], spine)
     return filled.withColumn("label", month_label(F.col("month"))).orderBy("month")
 
 
@@ -58,19 +59,12 @@ def totals(forecast: DataFrame, sales: DataFrame) -> DataFrame:
 
 def grid(forecast: DataFrame, sales: DataFrame, grain: str) -> DataFrame:
     """Forecast, sold and difference for every observed period and customer."""
-    facts = _compared(
-        _with_period(forecast, "ship_on", grain),
-        _with_period(sales, "invoice_date", grain),
-        ["period", "customer"],
-        keep_null_keys=True,
-    )
-    filled = dense_fill(
-        facts.where(F.col("customer").isNotNull()),
-        ["customer"],
-        "period",
-        MEASURES,
-        observed(facts, "period"),
-    )
+    planned = _with_period(forecast, "ship_on", grain)
+    sold = _with_period(sales, "invoice_date", grain)
+    facts = _compared(planned, sold, ["period", "customer"], keep_null_keys=True)
+    spine = observed(planned.select("period").unionByName(sold.select("period")), "period")
+    known = facts.where(F.col("customer").isNotNull())
+    filled = dense_fill(known, ["customer"], "period", MEASURES, spine)
     return filled.withColumn("difference", F.col("sold") - F.col("forecast"))
 
 
@@ -111,12 +105,12 @@ def by_customer(
 
 def by_month(forecast: DataFrame, sales: DataFrame) -> DataFrame:
     """Sold and forecast for every month from the first to the last one of either."""
-    monthly = _compared(
-        _with_period(forecast, "ship_on", "month"),
-        _with_period(sales, "invoice_date", "month"),
-        ["period"],
-    )
-    return _every_month(monthly, "period", MEASURES).orderBy("period")
+    planned = _with_period(forecast, "ship_on", "month")
+    sold = _with_period(sales, "invoice_date", "month")
+    monthly = _compared(planned, sold, ["period"])
+    both = planned.select("period").unionByName(sold.select("period"))
+    spine = month_spine(both, F.col("period"))
+    return _every_month(monthly, "period", MEASURES, spine).orderBy("period")
 
 
 def customer_series(
@@ -186,7 +180,9 @@ def _sold(sales: DataFrame, period: dt.date | None, grain: str) -> DataFrame:
     return rows.select("customer", F.col("amount").alias("sold"))
 
 
-def _every_month(monthly: DataFrame, month: str, measures: list[str]) -> DataFrame:
+def _every_month(
+    monthly: DataFrame, month: str, measures: list[str], spine: Column
+) -> DataFrame:
     whole = monthly.withColumn("_whole", F.lit(1))
-    filled = dense_fill(whole, ["_whole"], month, measures, month_spine(monthly, month))
+    filled = dense_fill(whole, ["_whole"], month, measures, spine)
     return filled.drop("_whole")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | None = None, app: str = "shopledger") -> SparkSession:
@@ -25,3 +28,28 @@ def local_session(cores: str | None = None, app: str = "shopledger") -> SparkSes
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables.
+
+    Only a local session without one gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="shopledger-")
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it from there."""
+    target = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.parquet(target)

@@ -30,8 +30,8 @@ def load_plan_ladder(
     Snapshots are numbered by file path, or in the order of ``files``. A file with
     fewer than two columns is left out and keeps its number.
     """
-    heads = first_rows(raw).withColumn("snapshot", _snapshot(files))
-    per_file = heads.where(
+    snapshots = raw.select("file").distinct().withColumn("snapshot", _snapshot(files))
+    per_file = first_rows(raw).join(snapshots, "file").where(
         (F.size(F.filter("cells", lambda c: c.isNotNull())) >= 2) & F.col("snapshot").isNotNull()
     ).select(
         "file",
@@ -40,11 +40,9 @@ def load_plan_ladder(
         F.transform("cells", lambda h, i: F.when(i > 0, _day(h, date_formats))).alias("days"),
     )
     body = join_per_group(raw, per_file).where("row_no > header_row")
-    long = body.select(
-        cell(0).alias("item"),
-        "snapshot",
-        "row_no",
-        F.explode(F.arrays_zip("days", "cells")).alias("e"),
+    pairs = F.explode(F.arrays_zip("days", "cells")).alias("e")
+    long = body.select(cell(0).alias("item"), "snapshot", "row_no", "days", "cells").select(
+        "item", "snapshot", "row_no", pairs
     )
     return long.where(F.col("e.days").isNotNull() & F.col("e.cells").isNotNull()).select(
         "item",
@@ -81,18 +79,17 @@ def load_sales_ladder(
     )
     body = join_per_group(raw, per_file).where("row_no > header_row")
     fixed = [clean_cell(F.get("cells", F.get("positions", F.lit(i)))) for i in range(4)]
-    long = body.select(
+    typed = [
         fixed[0].alias("item"),
         fixed[1].alias("lmx"),
         fixed[2].alias("customer"),
         to_number(fixed[3]).alias("unit_price"),
-        F.explode(F.arrays_zip("months", "cells")).alias("e"),
-    ).where("e.months IS NOT NULL AND e.cells IS NOT NULL")
-    return long.select(
-        "item",
-        "lmx",
-        "customer",
-        "unit_price",
+    ]
+    pairs = F.explode(F.arrays_zip("months", "cells")).alias("e")
+    kept = ["item", "lmx", "customer", "unit_price"]
+    long = body.select(*typed, "months", "cells").select(*kept, pairs)
+    return long.where("e.months IS NOT NULL AND e.cells IS NOT NULL").select(
+        *kept,
         F.col("e.months").alias("month"),
         to_number(F.col("e.cells")).alias("amount"),
     ).where("amount IS NOT NULL")
