@@ -104,12 +104,16 @@ def join_per_group(
     """Attach one row per group to all rows of the group without gathering the group.
 
     The small side is repeated for every block of consecutive rows and the join runs
-    on (group, block), so a group that holds most of the table is spread out. Groups
-    missing from ``per_group`` drop out.
+    on (group, block), so a group that holds most of the table is spread out. It is
+    handed down in two steps, to blocks of blocks first, so that no step repeats a
+    row more than ``JOIN_ROWS`` times in one task. Groups missing from ``per_group``
+    drop out.
     """
     blocked = rows.withColumn("_block", _block(order, JOIN_ROWS))
-    blocks = blocked.select(by, "_block").distinct().join(per_group, by)
-    return blocked.join(blocks, [by, "_block"]).drop("_block")
+    blocks = blocked.select(by, "_block").distinct().withColumn("_area", _block("_block", JOIN_ROWS))
+    areas = blocks.select(by, "_area").distinct().join(per_group, by)
+    spread = blocks.join(areas, [by, "_area"]).drop("_area")
+    return blocked.join(spread, [by, "_block"]).drop("_block")
 
 
 def _block(order: str, size: int) -> Column:

@@ -26,7 +26,9 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(query(spark, SMALL)) for name, query in QUERIES.items()}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    yield {name: plan(query(spark, SMALL)) for name, query in QUERIES.items()}
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
