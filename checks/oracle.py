@@ -219,8 +219,10 @@ def _calendar_long() -> str:
     )
 
 
-def _options(parts: dict[str, str], times: str) -> str:
+def _options(parts: dict[str, str], times: str | None) -> str:
     lists = [f"SELECT DISTINCT '{n}' AS option, {body}" for n, body in parts.items()]
+    if times is None:
+        return " UNION ALL ".join(lists)
     bounds = [
         f"SELECT 'date_{f}' AS option, CAST(CAST({f}({times.split()[0]}) AS DATE) AS STRING) "
         f"AS value {times.split(' ', 1)[1]}"
@@ -277,6 +279,24 @@ def _purchase_options() -> str:
     )
 
 
+def _prod_options() -> str:
+    dated = (
+        f"timecards WHERE completed_on BETWEEN {_day(q.DATES[0])} AND {_day(q.DATES[1])}"
+    )
+    shifts = f"{dated} AND shift IN ({_list(q.SHIFTS)})"
+    return _with(
+        _options(
+            {
+                "shift": f"shift AS value FROM {dated}",
+                "wc_type": f"wc_type AS value FROM {shifts}",
+                "wc": f"wc AS value FROM {shifts} AND wc_type IN ({_list(q.WC_TYPES)})",
+            },
+            "completed_on FROM timecards",
+        ),
+        "timecards",
+    )
+
+
 def _series(x: str) -> str:
     return f"SELECT {x} AS period, customer, {_sum('amount')} AS v"
 
@@ -290,6 +310,17 @@ def _production() -> dict[str, str]:
             f"AND wc_type IN ({_list(q.WC_TYPES)})",
             "timecards",
         ),
+        "prod_options": _prod_options(),
+        "plan_options": _with(
+            _options(
+                {
+                    "wc_type": "wc_type AS value FROM jobs",
+                    "wc": f"wc AS value FROM jobs WHERE wc_type = '{q.WC_TYPE}'",
+                },
+                None,
+            ),
+            "jobs",
+        ),
         "prod_kpis": _with(
             f"SELECT {_mean('efficiency')} AS mean_efficiency, {_mean('oee')} AS mean_oee, "
             f"(SELECT {_sum('quantity')} FROM sheets) AS quantity, "

@@ -63,6 +63,12 @@ def prod_filtered(t: Tables) -> DataFrame:
     return rows.withColumn("completed_on", F.to_date("completed_on"))
 
 
+@_query
+def prod_options(t: Tables) -> DataFrame:
+    cards = t.timecards("wc_type", "wc", "shift", "completed_on")
+    return production.timecard_options(cards, DATES, SHIFTS, WC_TYPES)
+
+
 @_query
 def prod_kpis(t: Tables) -> DataFrame:
     cards = t.timecards(
@@ -161,6 +167,11 @@ def prod_downtime_by_reason(t: Tables) -> DataFrame:
     return production.downtime_by_reason(t.view(views.DOWNTIME), t.sql(views.REASONS_SQL))
 
 
+@_query
+def plan_options(t: Tables) -> DataFrame:
+    return production.plan_options(t.view(views.SCHEDULED_JOBS, "wc_type", "wc"), WC_TYPE)
+
+
 @_query
 def plan_compliance(t: Tables) -> DataFrame:
     jobs = t.view(

@@ -50,8 +50,6 @@ LINE_ORDER = {
     "line_2": "l.l_partkey",
     "line_3": "l.l_suppkey",
     "line_4": "l.l_shipdate",
-    "line_5": "l.l_quantity",
-    "line_6": "l.l_discount",
 }
 
 REASON = "concat('D', lpad(CAST(1 + l.l_partkey % 73 AS STRING), 3, '0'))"

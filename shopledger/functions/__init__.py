@@ -22,6 +22,7 @@ from shopledger.functions.cleaning import (
 from shopledger.functions.measures import (
     exact_mean,
     exact_sum,
+    integer_text,
     money_text,
     number_text,
     percent_or_zero,
@@ -39,6 +40,7 @@ __all__ = [
     "code_part",
     "exact_mean",
     "exact_sum",
+    "integer_text",
     "money_text",
     "month_label",
     "month_name",

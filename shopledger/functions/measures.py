@@ -52,6 +52,11 @@ def number_text(c: Column, places: int = 0) -> Column:
     return F.format_number(c, places)
 
 
+def integer_text(c: Column) -> Column:
+    """The whole part as text."""
+    return c.cast("bigint").cast("string")
+
+
 def money_text(c: Column, places: int = 2) -> Column:
     """Currency text such as ``$1,234.50``."""
     return F.concat(F.lit("$"), F.format_number(c, places))

@@ -69,22 +69,33 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
-def selected(column: str, values: Iterable | None) -> Column:
-    """Cascade condition of an option list: an empty choice does not restrict it."""
-    if not values:
+def selected(column: str, values: Iterable | None, *, empty: str = "all") -> Column:
+    """Membership as a condition that is never null; ``None`` does not restrict.
+
+    ``empty`` says whether an empty choice admits ``"all"`` rows or ``"none"``.
+    """
+    if values is None or (not values and empty == "all"):
         return F.lit(True)
     return F.coalesce(F.col(column).isin(list(values)), F.lit(False))
 
 
+def within(column: str, dates: Dates | None) -> Column:
+    """Date range as a condition that is never null; ``None`` does not restrict."""
+    if dates is None:
+        return F.lit(True)
+    low, high = (F.lit(d).cast("timestamp_ntz") for d in dates)
+    return F.coalesce(F.col(column).between(low, high), F.lit(False))
+
+
 def option_rows(
     df: DataFrame,
     options: Mapping[str, tuple[str, Column]],
-    times: tuple[str, Column],
+    times: tuple[str, Column] | None = None,
 ) -> DataFrame:
     """Several distinct lists and the day bounds of a time column in one pass.
 
     The result has rows ``(option, value)``. ``options`` maps a list's name to its
-    column and to the condition under which a row contributes; ``times`` is the time
+    column and to the condition under which a row contributes; ``times`` is a time
     column and its condition, reported as ``date_min`` and ``date_max``. Rows are
     expanded in memory and reduced before the only shuffle.
     """
@@ -100,13 +111,10 @@ def option_rows(
         )
         for name, (c, condition) in options.items()
     ]
-    day = F.to_date(times[0])
-    entries.append(
-        F.when(
-            times[1] & day.isNotNull(),
-            F.struct(F.lit("date").alias("option"), no_text.alias("value"), day.alias("day")),
-        )
-    )
+    if times is not None:
+        day = F.to_date(times[0])
+        date = F.struct(F.lit("date").alias("option"), no_text.alias("value"), day.alias("day"))
+        entries.append(F.when(times[1] & day.isNotNull(), date))
     grouped = (
         df.select(F.explode(F.array(*entries)).alias("e"))
         .where("e IS NOT NULL")

@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions import exact_mean, exact_sum, percent_or_zero
-from shopledger.operators import by_key, date_range, equal_to, in_list, keep_first, sorted_by
-from shopledger.operators.filters import Dates
+from shopledger.operators import (
+    by_key,
+    date_range,
+    equal_to,
+    in_list,
+    keep_first,
+    option_rows,
+    sorted_by,
+)
+from shopledger.operators.filters import Dates, selected, within
 
 ROW_ORDER = ("file", "row_no")
 PLAN_MEASURES = ("to_make", "produced", "can_make", "remaining")
@@ -38,6 +46,38 @@ def filter_timecards(
     return in_list(rows, "wc", wcs)
 
 
+def timecard_options(
+    tc: DataFrame,
+    dates: Dates | None = None,
+    shifts: Sequence[str] | None = None,
+    wc_types: Sequence[str] | None = None,
+) -> DataFrame:
+    """Date bounds, shifts, classes and centres to choose from as ``(option, value)``.
+
+    Each list depends on the choices before it; an empty choice leaves nothing.
+    """
+    in_dates = within("completed_on", dates)
+    in_shifts = in_dates & selected("shift", shifts, empty="none")
+    in_types = in_shifts & selected("wc_type", wc_types, empty="none")
+    return option_rows(
+        tc,
+        {"shift": ("shift", in_dates), "wc_type": ("wc_type", in_shifts), "wc": ("wc", in_types)},
+        ("completed_on", F.lit(True)),
+    )
+
+
+def plan_options(jobs: DataFrame, wc_type: str) -> DataFrame:
+    """Work-centre classes, and the centres of one class, as ``(option, value)``."""
+    mine = F.coalesce(F.col("wc_type") == F.lit(wc_type), F.lit(False))
+    return option_rows(jobs, {"wc_type": ("wc_type", F.lit(True)), "wc": ("wc", mine)})
+
+
+def repeated_reasons(reasons: DataFrame) -> DataFrame:
+    """Reason ids that occur more than once; a usable catalogue has none."""
+    counts = reasons.groupBy("reason_id").agg(F.count("*").alias("n"))
+    return counts.where("n > 1").select("reason_id")
+
+
 def per_timesheet(tc: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """The first row of each timesheet."""
     return keep_first(tc, ["timesheet_no"], order)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopledger.operators import by_key
-from shopledger.plans import ladder, mrp, platform, production, purchasing, sales
+from shopledger.plans import ladder, mrp, pages, platform, production, purchasing, sales
+from shopledger.sources.mrp import MrpTables
 from tests.conftest import rows, unordered
 
 
@@ -369,3 +370,39 @@ def test_plan_ladder(spark):
     assert rows(ladder.item_series(long, "i")) == [("Archivo_1", d1, 6.0), ("Archivo_2", d2, 7.0)]
     assert rows(ladder.ladder_items(long)) == [("i",)]
     assert rows(ladder.ladder_dates(long)) == [(d1,), (d2,)]
+
+
+def test_pages(spark, runs, amounts, purchases):
+    pre, post = runs
+    none = spark.createDataFrame([("A", "RAW", "V")], "item STRING, type STRING, vendor STRING")
+    tables = [MrpTables(r.drop("po_number", "vendor"), none) for r in runs]
+    assert "comparison" not in pages.mrp_page(*tables)
+    page = pages.mrp_page(*tables, "RAW", "X", "1", as_of=dt.date(2025, 2, 1))
+    assert page["comparison"].count() == 2 and page["overdue"].count() == 1
+    assert page["requirement_lost"].count() == 0
+
+    page = pages.sales_page(*amounts, grain="month", period=dt.date(2025, 1, 1), customer="a")
+    assert page["item_detail"].count() == 1 and page["by_customer"].count() == 2
+    assert "item_detail" not in pages.sales_page(*amounts)
+
+    page = pages.purchase_page(purchases, types=["RAW"], years=[2025])
+    assert page["calendar"].count() == 24 and rows(page["totals"]) == [(30.0, 3.0)]
+
+
+def test_production_page(spark, cards):
+    full = cards.withColumn("hours", F.lit(1.0)).withColumns(
+        {c: F.lit(2.0) for c in ("expected_run_rate", "actual_run_rate")}
+    )
+    stops = spark.createDataFrame([("P1", 1.0, "D001")], "wc STRING, downtime_h DOUBLE, reason_id STRING")
+    dim = spark.createDataFrame([("D001", "x")], "reason_id STRING, description STRING")
+    page = pages.production_page(full, stops, dim, shifts=["A"], wcs=["P1"], order=["row_no"])
+    # The indicators are taken before the work-centre choice, the rest after it.
+    assert rows(page["kpis"]) == [(85.0, 60.0, 10.0, 0.5)]
+    assert rows(page["hours_by_wc"]) == [("P1", 1.0)]
+    assert page["downtime_by_reason"].count() == 1
+    options = rows(page["options"])
+    assert [v for n, v in options if n == "wc_type"] == ["PRESS"]
+    assert sorted(v for n, v in options if n == "shift") == ["A", "B"]
+    assert len(page) == 17 and len(pages.production_page(full, order=["row_no"])) == 15
+    assert production.repeated_reasons(dim).count() == 0
+    assert production.repeated_reasons(dim.unionByName(dim)).count() == 1
