@@ -14,7 +14,7 @@ from shopledger.operators.filters import (
     in_list,
     option_rows,
 )
-from shopledger.operators.grid import dense_fill, month_spine, observed
+from shopledger.operators.grid import dense_fill, fill_months, month_spine, observed
 from shopledger.operators.ordered import forward_fill, keep_first, number_rows
 from shopledger.operators.ranking import by_key, sorted_by, top_k
 
@@ -26,6 +26,7 @@ __all__ = [
     "dense_fill",
     "distinct_sorted",
     "equal_to",
+    "fill_months",
     "forward_fill",
     "in_list",
     "keep_first",

@@ -25,6 +25,22 @@ def observed(periods: DataFrame, column: str) -> Column:
     return periods.agg(F.array_sort(F.collect_set(column)).alias("spine")).scalar()
 
 
+def fill_months(monthly: DataFrame, month: str, measures: Sequence[str]) -> DataFrame:
+    """Add the missing months between the first and the last one, with 0.
+
+    ``monthly`` has one row per month, so it is gathered into a single row, bounded by
+    the calendar, and unfolded along its own span: one pass, no join.
+    """
+    entry = F.struct(F.col(month), F.struct(*[F.col(m) for m in measures]))
+    whole = monthly.agg(
+        F.min(month).alias("_lo"),
+        F.max(month).alias("_hi"),
+        F.map_from_entries(F.collect_list(entry)).alias("_cells"),
+    )
+    spine = F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias(month)
+    return _looked_up(whole.select("_cells", spine), [], month, measures)
+
+
 def dense_fill(
     facts: DataFrame, entity: Sequence[str], period: str, measures: Sequence[str], spine: Column
 ) -> DataFrame:
@@ -40,10 +56,15 @@ def dense_fill(
     per_entity = facts.groupBy(*entity).agg(
         F.map_from_entries(F.collect_list(entry)).alias("_cells")
     )
-    grid = per_entity.select(*entity, "_cells", F.explode(spine).alias(period)).withColumn(
-        "_cell", F.try_element_at("_cells", F.col(period))
-    )
-    return grid.select(
+    grid = per_entity.select(*entity, "_cells", F.explode(spine).alias(period))
+    return _looked_up(grid, entity, period, measures)
+
+
+def _looked_up(
+    grid: DataFrame, entity: Sequence[str], period: str, measures: Sequence[str]
+) -> DataFrame:
+    found = grid.withColumn("_cell", F.try_element_at("_cells", F.col(period)))
+    return found.select(
         period,
         *entity,
         *[F.coalesce(F.col("_cell").getField(m), F.lit(0.0)).alias(m) for m in measures],

@@ -12,8 +12,8 @@ from shopledger.functions import exact_sum, month_label, month_start, period_lab
 from shopledger.operators import (
     dense_fill,
     distinct_sorted,
+    fill_months,
     in_list,
-    month_spine,
     observed,
     side_by_side,
     sorted_by,
@@ -35,8 +35,7 @@ def ladder_by_month(ladder: DataFrame, customers: Sequence[str] | None = None) -
     monthly = rows.groupBy(month_start(F.col("month")).alias("month")).agg(
         exact_sum(F.col("amount")).alias("amount")
     )
-    spine = month_spine(rows, month_start(F.col("month")))
-    filled = _every_month(monthly, "month", ["amount"], spine)
+    filled = fill_months(monthly, "month", ["amount"])
     return filled.withColumn("label", month_label(F.col("month"))).orderBy("month")
 
 
@@ -108,9 +107,7 @@ def by_month(forecast: DataFrame, sales: DataFrame) -> DataFrame:
     planned = _with_period(forecast, "ship_on", "month")
     sold = _with_period(sales, "invoice_date", "month")
     monthly = _compared(planned, sold, ["period"])
-    both = planned.select("period").unionByName(sold.select("period"))
-    spine = month_spine(both, F.col("period"))
-    return _every_month(monthly, "period", MEASURES, spine).orderBy("period")
+    return fill_months(monthly, "period", MEASURES).orderBy("period")
 
 
 def customer_series(
@@ -179,10 +176,3 @@ def _sold(sales: DataFrame, period: dt.date | None, grain: str) -> DataFrame:
     rows = sales if period is None else sales.where(in_period("invoice_date", period, grain))
     return rows.select("customer", F.col("amount").alias("sold"))
 
-
-def _every_month(
-    monthly: DataFrame, month: str, measures: list[str], spine: Column
-) -> DataFrame:
-    whole = monthly.withColumn("_whole", F.lit(1))
-    filled = dense_fill(whole, ["_whole"], month, measures, spine)
-    return filled.drop("_whole")

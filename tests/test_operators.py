@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shopledger.operators import (
     dense_fill,
+    fill_months,
     forward_fill,
     keys_only_in_first,
     month_spine,
@@ -141,3 +142,12 @@ def test_option_rows(spark):
         ("p", "p2"),
         ("s", "s1"),
     ]
+
+
+def test_fill_months(spark):
+    data = [(dt.date(2024, 11, 1), 1.0), (dt.date(2025, 2, 1), 2.0)]
+    df = spark.createDataFrame(data, "m DATE, x DOUBLE")
+    got = sorted(rows(fill_months(df, "m", ["x"])))
+    assert [x for _, x in got] == [1.0, 0.0, 0.0, 2.0]
+    assert [m.month for m, _ in got] == [11, 12, 1, 2]
+    assert fill_months(df.where("x > 9"), "m", ["x"]).count() == 0
