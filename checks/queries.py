@@ -12,7 +12,6 @@ from checks import views
 from checks.tables import MONTHS, Tables
 from shopledger.operators import by_key, top_k
 from shopledger.plans import ladder, mrp, platform, production, purchasing, sales
-from shopledger.session import landed
 from shopledger.sources.downtime import flatten_downtime
 from shopledger.sources.ladders import load_plan_ladder, load_sales_ladder
 from shopledger.sources.mrp import MrpTables, flatten_mrp
@@ -153,7 +152,7 @@ def prod_jobs_by_shift(t: Tables) -> DataFrame:
 
 @_query
 def prod_downtime_flatten(t: Tables) -> DataFrame:
-    flat = flatten_downtime(landed(t.downtime_lines(), "downtime"))
+    flat = flatten_downtime(t.landed("downtime", t.downtime_lines))
     return flat.select("file", "wc", "downtime_h", "reason_id")
 
 
@@ -195,7 +194,7 @@ def plan_detail(t: Tables) -> DataFrame:
 
 
 def _flat_mrp(t: Tables, run: str) -> MrpTables:
-    return flatten_mrp(landed(t.mrp_cells(run), f"mrp-{run}"), header_rows=0)
+    return flatten_mrp(t.landed(f"mrp-{run}", lambda: t.mrp_cells(run)), header_rows=0)
 
 
 def _enriched(t: Tables, run: str) -> DataFrame:
@@ -325,7 +324,7 @@ def mrp_alert_counts(t: Tables) -> DataFrame:
 
 @_query
 def ladder_amounts(t: Tables) -> DataFrame:
-    return load_sales_ladder(landed(t.sales_ladder_cells(), "sales-ladder"))
+    return load_sales_ladder(t.landed("sales-ladder", t.sales_ladder_cells))
 
 
 @_query
@@ -509,7 +508,7 @@ def purchase_month_type(t: Tables) -> DataFrame:
 
 @_query
 def ladder_long(t: Tables) -> DataFrame:
-    return load_plan_ladder(landed(t.plan_ladder_cells(), "plan-ladder")).drop("row_no")
+    return load_plan_ladder(t.landed("plan-ladder", t.plan_ladder_cells)).drop("row_no")
 
 
 @_query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks import views
 from shopledger.functions import exact_sum, month_start
 from shopledger.operators import number_rows
+from shopledger.session import landed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 ORDER_BLOCK = 1 << 20
@@ -20,11 +21,16 @@ ITEMS_PER_FILE = 1000
 MONTHS = [dt.date(y, m, 1) for y in range(1995, 2002) for m in range(1, 13)]
 
 
+# Sheets already landed: (application, folder, sheet) -> table.
+_LANDED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """Report tables derived from one folder of driver tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
+        self.sf_dir = sf_dir
         self.base = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
     def sql(self, text: str) -> DataFrame:
@@ -44,6 +50,13 @@ class Tables:
     def no_req(self, run: str) -> DataFrame:
         return self.sql(views.no_req_sql(run))
 
+    def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A raw sheet, written on first use and read from there by every loader."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _LANDED:
+            _LANDED[key] = landed(build(), name)
+        return _LANDED[key]
+
     def downtime_lines(self) -> DataFrame:
         """The indented downtime report: one file per shift, one heading per reason."""
         order = list(views.LINE_ORDER)

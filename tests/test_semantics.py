@@ -13,6 +13,7 @@ from shopledger.functions import (
     code_part,
     exact_mean,
     exact_sum,
+    integer_text,
     money_text,
     month_label,
     month_name,
@@ -203,5 +204,6 @@ def test_code_part(spark):
 
 def test_display_text(spark):
     df = spark.createDataFrame([(1234567.125, 2.5)], "a DOUBLE, b DOUBLE")
-    got = df.select(money_text(F.col("a")), number_text(F.col("b")))
-    assert rows(got) == [("$1,234,567.12", "2")]
+    a, b = F.col("a"), F.col("b")
+    got = df.select(money_text(a), number_text(b), integer_text(b))
+    assert rows(got) == [("$1,234,567.12", "2", "2")]
