@@ -46,7 +46,12 @@ def to_number(c: Column) -> Column:
 
 
 def to_time(c: Column, formats: Sequence[str] = ISO_FORMATS) -> Column:
-    """Text to a zone-less timestamp by the first layout that fits, else null."""
-    text = strip_ws(c.cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    """Text to a zone-less timestamp by the first layout that fits, else null.
+
+    The text is read as UTC and counted from the epoch, so the clock time survives
+    in a session whose zone skips that hour.
+    """
+    text = F.concat(strip_ws(c.cast("string")), F.lit(" Z"))
+    parsed = [F.try_to_timestamp(text, F.lit(f"{f} X")) for f in formats]
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.coalesce(*parsed)), epoch)

@@ -63,6 +63,16 @@ def test_day_first_format(spark):
     assert got == [dt.datetime(2025, 7, 1), None]
 
 
+def test_clock_times_do_not_depend_on_the_session_zone(spark):
+    texts = ["2025-03-09 02:30", "2025-11-02 01:30", "2025-07-01T08:00:00"]
+    expected = [dt.datetime(2025, 3, 9, 2, 30), dt.datetime(2025, 11, 2, 1, 30), dt.datetime(2025, 7, 1, 8)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert values(spark, to_time(F.col("c")), texts) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_null_keys_are_dropped_and_empty_groups_sum_to_zero(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), (None, 5.0)], "k STRING, x DOUBLE")
     assert rows(by_key(df, "k", "x", "sum")) == [("b", 0.0), ("a", 1.0)]
