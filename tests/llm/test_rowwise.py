@@ -1,0 +1,197 @@
+"""Row-wise operators against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from shopledger.llm import bpe, packing, pii, quality
+
+from . import odd
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.fixture(scope="module", params=["odd", "small"])
+def docs(request, spark):
+    return odd.documents(spark) if request.param == "odd" else odd.small(spark)
+
+
+def pairs(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def same(got, expected):
+    assert Counter(map(tuple, got.collect())) == Counter(expected)
+
+
+# --- personal data ---------------------------------------------------------------------
+
+
+def luhn(d):
+    total = 0
+    for k, c in enumerate(reversed(d)):
+        n = int(c) * (1 + k % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    forms = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    out = []
+    for rank, (kind, form, good) in enumerate(forms):
+        if kind == "email" and text.count("@") > 1000:  # the plain form is quadratic there
+            continue
+        out += [(m.start(), rank, kind, m.end()) for m in re.finditer(form, text) if good(m.group())]
+    return sorted(out)
+
+
+def test_base_spans(docs):
+    expected = []
+    for doc, text in pairs(docs):
+        found = base_spans(text or "")
+        counts = Counter(kind for _, _, kind, _ in found)
+        told = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in found)
+        expected.append((doc, *(counts[k] for k in ("email", "ip", "card", "phone")), sha(told)))
+    same(pii.spans(docs).drop("spans"), expected)
+
+
+def test_context_and_checksums(spark):
+    text = "Bank account GB82 WEST 1234 5698 7654 32. Code GB82 WEST 1234 5698 7654 33. ssn 078-05-1120."
+    got = pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).head().spans.split(",")
+    assert [g.split(":")[0] for g in got] == ["iban", "social"]
+    alone = spark.createDataFrame([(1, "Part 078-05-1120 fits.")], "doc_id long, text string")
+    assert pii.spans(alone).head().spans == ""
+
+
+def test_redact(spark):
+    docs = odd.documents(spark, ["Mail 🙂 a@b.cd, call +1 555 010 9999.", None, "none"])
+    got = {r.doc_id: r.text for r in pii.redact(docs).where("lang is null AND doc_id is not null").collect()}
+    assert got == {0: "Mail 🙂 <EMAIL>, call <PHONE>.", 1: None, 2: "none"}
+    assert pii.redact(docs).columns == docs.columns
+    assert pii.redact(odd.empty(spark)).count() == 0
+
+
+# --- quality ---------------------------------------------------------------------------
+
+
+def measures(text):
+    w = words(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    often = Counter(windows)
+    covered = {j for k, x in enumerate(windows) if often[x] > 1 for j in range(k, k + 8)}
+    symbols = sum(map((text or "").count, "#*$%&|<>"))
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_measures(docs):
+    got = quality.measures(docs)
+    same(got.drop("kept"), [(doc, *measures(text)) for doc, text in pairs(docs)])
+    assert got.where("base_failed AND kept").count() == 0
+
+
+def test_clean_documents_are_kept(spark):
+    docs, labels = odd.small(spark), odd.small(spark, "labels")
+    judged = quality.measures(docs).join(labels, "doc_id")
+    assert judged.where("quality = 1 AND NOT kept AND NOT base_failed").count() == 0
+    bad = judged.where("quality = 0")
+    assert bad.where("NOT kept").count() >= 0.8 * bad.count()
+
+
+def test_clean(spark):
+    docs = odd.documents(spark)
+    got = quality.clean(docs)
+    assert got.columns == docs.columns
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert texts[12] == odd.PROSE + "\n" + odd.OTHER
+    assert quality.clean(odd.empty(spark)).count() == 0
+
+
+# --- tokens ----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    return bpe.Encoder(WORD_BPE).library
+
+
+def test_digests(docs, library):
+    expected = []
+    for doc, text in pairs(docs):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        told = library.decode(ids, skip_special_tokens=False)
+        expected.append((doc, len(ids), sha(" ".join(map(str, ids))), sha(told)))
+    same(bpe.digests(docs, WORD_BPE), expected)
+
+
+def test_encode_then_decode(spark, library):
+    docs = odd.documents(spark)
+    got = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
+    texts = [library.encode(t or "", add_special_tokens=False).ids for _, t in pairs(docs)]
+    assert Counter(r.text for r in got.collect()) == Counter(
+        library.decode(t, skip_special_tokens=False) for t in texts
+    )
+    assert bpe.encode(odd.empty(spark), WORD_BPE).count() == 0
+
+
+def test_other_vocabulary(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = bpe.Encoder(path)
+    text = odd.PROSE * 200
+    assert enc.texts([text])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("shard", [40_000, 25])
+def test_packing(docs, library, shard):
+    import zlib
+
+    rows = packing.pack(docs, WORD_BPE, shard=shard).collect()
+    by_text = Counter()
+    for _, text in pairs(docs):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        for a in range(0, len(ids), 2048):
+            piece = np.array(ids[a : a + 2048], "<u4")
+            by_text[(a, len(piece), zlib.crc32(piece.tobytes()), len(ids))] += 1
+    assert Counter((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == by_text
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in windows.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    if shard > 1000:
+        used = sum(r.length for r in rows)
+        assert len(windows) <= used // 2048 + max(2, 0.05 * used / 2048)
+
+
+def test_best_fit_takes_the_tightest():
+    windows, offsets = packing.best_fit([9, 7, 3, 2, 1], 10)
+    assert (windows, offsets) == ([0, 1, 1, 2, 0], [0, 0, 7, 0, 9])
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack(odd.empty(spark), WORD_BPE).count() == 0
