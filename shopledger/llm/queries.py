@@ -8,7 +8,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, lm, packing, pii, quality
+from . import ann, bpe, chat, html, lm, ngram_join, packing, pii, quality
+
+
+#: Bounds count for so much more than they are: see the recall test.
+ANN_FACTOR = 1.0
 
 
 def vocabulary() -> str:
@@ -29,6 +33,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, factor=ANN_FACTOR)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,7 +74,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_html, op6_packing, op7_quality, op8_chat, op9_bpe, op10_lm)
+    f.__name__: f for f in (op2_pii, op3_html, op4_ngram_join, op5_ann, op6_packing, op7_quality, op8_chat, op9_bpe, op10_lm)
 }
 
 
