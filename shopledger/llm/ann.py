@@ -165,10 +165,10 @@ _CAND = "cls long, cand long, ids array<long>, score double, radius double"
 def _search(points: DataFrame, queries: DataFrame, wanted: int, factor: float, block: int) -> DataFrame:
     """Candidates of queries (cls, v, radius, leaf, salt) among the points of the same shard."""
     loads = queries.groupBy("leaf", "salt").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = points.join(F.broadcast(loads), ["leaf", "salt"]).withColumn(
+    dealt = points.join(loads, ["leaf", "salt"]).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
-    asked = queries.join(F.broadcast(loads), ["leaf", "salt"]).withColumn(
+    asked = queries.join(loads, ["leaf", "salt"]).withColumn(
         "block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")
     )
 
@@ -196,6 +196,7 @@ def _search(points: DataFrame, queries: DataFrame, wanted: int, factor: float, b
         )
 
     keys = ["leaf", "salt", "block"]
+    asked = asked.select(*[F.col(c).alias(c) for c in ("cls", "v", "radius", *keys)])  # columns of its own
     return dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, _CAND)
 
 

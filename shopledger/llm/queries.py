@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, lm, ngram_join, packing, pii, quality
+from . import ann, bpe, chat, html, lm, ngram_join, packing, pii, quality, suffix_dedup
 
 
 #: Bounds count for so much more than they are: see the recall test.
@@ -22,35 +22,39 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sc = spark.sparkContext
     if sc.master.startswith("local"):  # a cluster ships the package; here workers find it in its folder
         sc.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.spans(_table(spark, sf_dir, "documents"))
+    return pii.spans(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, factor=ANN_FACTOR)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, factor=ANN_FACTOR)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measures(_table(spark, sf_dir, "documents"))
+    return quality.measures(table(spark, sf_dir, "documents"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     added = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -62,19 +66,23 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.main_text(_table(spark, sf_dir, "pages"))
+    return html.main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.train_and_score(_table(spark, sf_dir, "documents"))
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_html, op4_ngram_join, op5_ann, op6_packing, op7_quality, op8_chat, op9_bpe, op10_lm)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_pii, op3_html, op4_ngram_join, op5_ann,
+        op6_packing, op7_quality, op8_chat, op9_bpe, op10_lm,
+    )
 }
 
 

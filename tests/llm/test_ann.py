@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -14,7 +16,7 @@ from . import odd
 
 def brute(rows, k=5, every=50):
     rows = {(i, tuple(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
-    usual = max({len(v) for _, v in rows}, default=0)
+    usual = Counter(len(v) for _, v in rows).most_common(1)[0][0]
     rows = sorted(r for r in rows if len(r[1]) == usual)
     ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
     norms = np.sqrt((m * m).sum(axis=1))
