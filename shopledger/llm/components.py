@@ -5,7 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep
+from .tables import keep, width
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges ``a`` > ``b`` of each part made stars, which leaves at most an edge a node and part."""
+
+    def run(frames):
+        import pandas as pd
+
+        up: dict[int, int] = {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pd.DataFrame({"a": nodes, "b": [top(x) for x in nodes]}, dtype="int64")
+
+    distinct = edges.where("a <> b").select("a", "b").distinct()
+    return distinct.repartition(width(edges), "a").mapInPandas(run, "a long, b long").where("a > b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     written, and rounds grow with the logarithm of the longest path.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = keep(_contracted(edges).distinct(), "edges")
     before = None
     while True:
         around = both(now)

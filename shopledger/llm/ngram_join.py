@@ -2,10 +2,12 @@
 
 1. Each text becomes the set of hashes of its five-word shingles. Texts with equal sets are
    one class from here on, named by a hash of the set.
-2. The global order puts shingles of crowded slots of a count table of fixed size last, else
-   goes by hash. Two sets that are similar enough share a shingle among their first ones, so
-   only those meet; sizes split what meets at one shingle into runs. The connected runs are
-   candidate groups.
+2. In the global order, rare shingles come first. Spark counts the shingles in the lowest
+   part of the hash range; a table of fixed size keeps how common those are that occur more
+   than once; the rest of the range comes last, by hash. Two sets that are similar enough
+   share a shingle among their first ones, so only those meet, and of these only shingles
+   that the table has. Sizes split what meets at one shingle into runs. The connected runs
+   are candidate groups.
 3. The sets of a candidate group are stored one after the other in a trie in global order.
    A new set walks the trie, adding up what it shares with each branch once for all sets
    behind it, and leaves a branch when what remains of the longest set there can't reach the
@@ -32,8 +34,11 @@ from .tables import keep, numbered, width
 from .textblock import Prefix, TextBlock, U64, batches, mix
 
 WORDS = 5
-#: Slots of the count table, and bits of the candidates' table: fixed, so that both may be broadcast.
-SLOTS_LOG2, BITS_LOG2, BLOCK = 22, 24, 1 << 16
+#: Slots of the table of common shingles (a byte each), and bits of the candidates' table:
+#: fixed, so that both may be broadcast whatever the input. A fuller table costs work only.
+SLOTS_LOG2, BITS_LOG2, BLOCK = 24, 24, 1 << 16
+#: The part of the hash range that is counted: more than the share of a set that comes first.
+COUNTED = U64(int(0.3 * 2**64))
 #: Sets in one block of a candidate group.
 MOST_SETS = 3000
 
@@ -63,61 +68,83 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set) of every row, and (slot block, counts) of every task's count table, in one pass."""
+    """(_row, doc_id, n, set): size and name of every row's set."""
 
     def run(frames):
         import pandas as pd
-        import zstandard
 
-        table = np.zeros(1 << SLOTS_LOG2, np.uint32)
         for frame in batches(frames, "text"):
-            _, shingle, size, name = shingle_sets(frame["text"].tolist())
-            slots, n = np.unique(shingle >> U64(64 - SLOTS_LOG2), return_counts=True)
-            table[slots.astype(np.int64)] += n.astype(np.uint32)
-            yield pd.DataFrame(
-                {"_row": frame["_row"], "doc_id": frame["doc_id"].astype("Int64"), "n": size, "set": pd.array(name).astype("Int64"), "block": -1, "counts": None}
-            )
-        packer, rows = zstandard.ZstdCompressor(level=1), []
-        for k in range(0, len(table), BLOCK):
-            if table[k : k + BLOCK].any():
-                rows.append((None, None, None, None, k // BLOCK, packer.compress(table[k : k + BLOCK].tobytes())))
-        yield pd.DataFrame(rows, columns=["_row", "doc_id", "n", "set", "block", "counts"]).astype(
-            dict.fromkeys(("_row", "doc_id", "n", "set"), "Int64")
-        )
+            _, _, size, name = shingle_sets(frame["text"].tolist())
+            doc = frame["doc_id"].astype("Int64")
+            yield pd.DataFrame({"_row": frame["_row"], "doc_id": doc, "n": size, "set": name})
 
-    shape = "_row long, doc_id long, n long, set long, block int, counts binary"
-    return docs.select("_row", "doc_id", "text").mapInPandas(run, shape)
+    return docs.select("_row", "doc_id", "text").mapInPandas(run, "_row long, doc_id long, n long, set long")
 
 
-def _crowded(tables: DataFrame) -> np.ndarray:
-    """A class for each slot: 0 if it is not crowded, else more for more. One byte a slot, whatever the input."""
+def _shared(docs: DataFrame) -> DataFrame:
+    """(shingle, count) of the counted shingles that occur in more than one text."""
 
     def run(frames):
         import pandas as pd
+
+        for frame in batches(frames, "text"):
+            _, shingle, _, _ = shingle_sets(frame["text"].tolist())
+            shingle, n = np.unique(shingle[shingle < COUNTED], return_counts=True)
+            yield pd.DataFrame({"shingle": shingle.view(np.int64), "n": n.astype(np.int32)})
+
+    counts = docs.select("text").mapInPandas(run, "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return counts.where("n > 1")
+
+
+def _levels(shared: DataFrame) -> np.ndarray:
+    """How common the commonest shingle of each slot is, 0 for slots without a shared one."""
+
+    def fill(frames):
+        import pandas as pd
         import zstandard
 
-        added: dict[int, np.ndarray] = {}
+        table = np.zeros(1 << SLOTS_LOG2, np.uint8)
         for frame in frames:
-            for block, counts in zip(frame["block"], frame["counts"]):
-                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint32).astype(np.uint64)
-                added[block] = added[block] + got if block in added else got
-        for block, counts in added.items():
-            level = np.zeros(len(counts), np.uint8)
-            some = counts > 0
-            level[some] = np.log2(counts[some].astype(float)) * 4
-            yield pd.DataFrame({"block": [block], "total": [int(counts.sum())], "levels": [level.tobytes()]})
-
-    rows = tables.repartition(width(tables), "block").mapInPandas(run, "block int, total long, levels binary").collect()
+            slot = (frame["shingle"].to_numpy(np.int64).view(np.uint64) >> U64(64 - SLOTS_LOG2)).astype(np.int64)
+            np.maximum.at(table, slot, np.minimum(np.log2(frame["n"].to_numpy(float)) * 4, 250).astype(np.uint8))
+        packer, rows = zstandard.ZstdCompressor(level=1), []
+        for k in range(0, len(table), BLOCK):
+            if table[k : k + BLOCK].any():
+                rows.append((k // BLOCK, packer.compress(table[k : k + BLOCK].tobytes())))
+        yield pd.DataFrame(rows, columns=["block", "levels"])
+
+    def merge(frames):
+        import pandas as pd
+        import zstandard
+
+        found: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for block, levels in zip(frame["block"], frame["levels"]):
+                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(levels), np.uint8)
+                found[block] = np.maximum(found[block], got) if block in found else got
+        packer = zstandard.ZstdCompressor(level=1)
+        rows = [(block, packer.compress(levels.tobytes())) for block, levels in found.items()]
+        yield pd.DataFrame(rows, columns=["block", "levels"])
+
+    import zstandard
+
+    shape = "block int, levels binary"
+    blocks = shared.mapInPandas(fill, shape).repartition(width(shared), "block").mapInPandas(merge, shape)
     out = np.zeros(1 << SLOTS_LOG2, np.uint8)
-    for r in rows:
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.levels, np.uint8)
-    usual = sum(r.total for r in rows) / len(out)
-    floor = int(np.log2(4 * usual + 48) * 4)
-    return np.where(out > floor, out - floor, 0).astype(np.uint8)
+    for r in blocks.collect():  # a row a block of the table
+        found = zstandard.ZstdDecompressor().decompress(r.levels)
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(found, np.uint8)
+    return out
+
 
+def _classes_of(shingle: np.ndarray, levels) -> np.ndarray:
+    """The first key of the global order: rare shingles first, those not counted last."""
+    level = levels.value[(shingle >> U64(64 - SLOTS_LOG2)).astype(np.int64)]
+    return np.where(shingle < COUNTED, level, np.uint8(255))
 
-def _prefixes(docs: DataFrame, crowded) -> DataFrame:
-    """(shingle, set, n) of the first shingles of each set in global order."""
+
+def _prefixes(docs: DataFrame, levels) -> DataFrame:
+    """(shingle, set, n) of the first shingles of each set in global order, but for those that no other text has."""
 
     def run(frames):
         import pandas as pd
@@ -134,10 +161,12 @@ def _prefixes(docs: DataFrame, crowded) -> DataFrame:
                 seen.clear()
             own = fresh[text]
             text, shingle = text[own], shingle[own]
-            by = np.lexsort((shingle, crowded.value[(shingle >> U64(64 - SLOTS_LOG2)).astype(np.int64)], text))
-            text, shingle = text[by], shingle[by]
+            rank = _classes_of(shingle, levels)
+            by = np.lexsort((shingle, rank, text))
+            text, shingle, rank = text[by], shingle[by], rank[by]
             start = np.searchsorted(text, np.arange(len(size)))
             first = np.arange(len(text)) - start[text] <= size[text] - (4 * size[text] + 4) // 5
+            first &= rank > 0
             text = text[first]
             yield pd.DataFrame({"shingle": shingle[first].view(np.int64), "set": name[text], "n": size[text].astype(np.int32)})
 
@@ -164,7 +193,7 @@ def _bits(names: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _sets(docs: DataFrame, bits, crowded) -> DataFrame:
+def _sets(docs: DataFrame, bits, levels) -> DataFrame:
     """(set, shingles in global order) of the sets whose bit is set; a set once a task."""
 
     def run(frames):
@@ -175,7 +204,9 @@ def _sets(docs: DataFrame, bits, crowded) -> DataFrame:
             text, shingle, size, name = shingle_sets(frame["text"].tolist())
             low = name.view(np.uint64) & U64((1 << BITS_LOG2) - 1)
             may = (bits.value[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1)
-            by = np.lexsort((shingle, crowded.value[(shingle >> U64(64 - SLOTS_LOG2)).astype(np.int64)], text))
+            own = (may[text] == 1) & (size[text] > 0)
+            text, shingle = text[own], shingle[own]
+            by = np.lexsort((shingle, _classes_of(shingle, levels), text))
             text, shingle = text[by], shingle[by]
             at = np.searchsorted(text, np.arange(len(size) + 1))
             rows = []
@@ -300,16 +331,16 @@ def _roots(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return sets.join(found, "set", "left").withColumn("mine", F.coalesce("mine", "set"))
 
 
-def _classes(docs: DataFrame, crowded) -> DataFrame:
+def _classes(docs: DataFrame, levels) -> DataFrame:
     """(node, root) of the sets that are linked with another one."""
     spark = docs.sparkSession
-    groups = keep(_candidates(_prefixes(docs, crowded)), "groups")
+    groups = keep(_candidates(_prefixes(docs, levels)), "groups")
     bits = spark.sparkContext.broadcast(_bits(groups))
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / MOST_SETS).alias("k"))
     place = groups.join(blocks, "root").select(
         F.col("node").alias("set"), "root", "k", F.pmod(F.xxhash64("node"), "k").alias("block")
     )
-    sets = keep(_sets(docs, bits, crowded).join(place, "set"), "sets")
+    sets = keep(_sets(docs, bits, levels).join(place, "set"), "sets")
     edges = keep(_linked(sets), "links")
     large = sets.where("k > 1")
     if large.limit(1).count():
@@ -330,10 +361,9 @@ def _classes(docs: DataFrame, crowded) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: ``_row`` (unique), doc_id, n_shingles, component_id and ``first``, the component's least ``_row``."""
     docs = numbered(docs)
-    measured = keep(_measured(docs), "shingles")
-    crowded = docs.sparkSession.sparkContext.broadcast(_crowded(measured.where("block >= 0")))
-    rows = measured.where("block < 0").select("_row", "doc_id", "n", "set")
-    classes = _classes(docs, crowded).select(F.col("node").alias("set"), "root")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(_shared(docs)))
+    rows = keep(_measured(docs), "shingles")
+    classes = _classes(docs, levels).select(F.col("node").alias("set"), "root")
     least = [F.min("_row").alias("_row"), F.min("doc_id").alias("doc_id")]
     some = rows.where("n > 0").groupBy("set").agg(*least)
     some = some.join(classes, "set", "left").withColumn("root", F.coalesce("root", "set"))
