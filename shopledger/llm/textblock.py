@@ -93,7 +93,7 @@ class TextBlock:
         return hashes, np.searchsorted(starts, self.offsets)
 
 
-def batches(frames, column: str, most: int = 4 << 20):
+def batches(frames, column: str, most: int = 1_900_000):
     """Parts of pandas frames whose texts hold about ``most`` characters, one text at least."""
     for frame in frames:
         sizes = frame[column].str.len().fillna(0).to_numpy(np.int64)
