@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep, width
+from .tables import keep, parts_for
 
+#: Edges of one part; the parts grow in number with the edges.
+EACH = 400_000
 
-def _contracted(edges: DataFrame) -> DataFrame:
+
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
     """The edges ``a`` > ``b`` of each part made stars, which leaves at most an edge a node and part."""
 
     def run(frames):
@@ -29,8 +32,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         nodes = list(up)
         yield pd.DataFrame({"a": nodes, "b": [top(x) for x in nodes]}, dtype="int64")
 
-    distinct = edges.where("a <> b").select("a", "b").distinct()
-    return distinct.repartition(width(edges), "a").mapInPandas(run, "a long, b long").where("a > b")
+    return edges.repartition(parts, "a").mapInPandas(run, "a long, b long").where("a > b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,9 +44,11 @@ def components(edges: DataFrame) -> DataFrame:
     written, and rounds grow with the logarithm of the longest path.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = keep(_contracted(edges).distinct(), "edges")
+    distinct = keep(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    parts = parts_for(distinct.count(), EACH)
+    now = keep(_contracted(distinct, parts).distinct(), "edges")
     before = None
-    while True:
+    while parts > 1:  # the stars of a single part are the components
         around = both(now)
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         larger = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from shopledger.llm import ngram_join
+from shopledger.llm import components, ngram_join
 
 from . import odd
 
@@ -75,6 +75,7 @@ def test_odd_rows(spark):
 
 def test_small_blocks_lose_no_link(copies, monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_SETS", 3)
+    monkeypatch.setattr(components, "EACH", 40)
     check(copies)
 
 
