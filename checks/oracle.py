@@ -434,10 +434,12 @@ def _mrp() -> dict[str, str]:
         "mrp_compare_long": _with(
             f"SELECT item, {line}, run, qty FROM (SELECT item, arrival_date, 'qty_before' AS run, "
             "qty_before AS qty FROM comparison UNION ALL SELECT item, arrival_date, 'qty_after', "
-            "qty_after FROM comparison) "
-            "WHERE (SELECT count(DISTINCT item) FROM comparison) <= 5000",
+            "qty_after FROM comparison)",
             "comparison",
         ),
+        "mrp_compare_items": _with(
+            "SELECT count(DISTINCT item) AS items FROM comparison", "comparison"
+        ),
         "mrp_due_7_days": _with(due, "days_post"),
         "mrp_late_lines": _with(
             f"SELECT item, {line}, abs(days_left) AS days_late, qty FROM days_post "

@@ -301,7 +301,12 @@ def mrp_compare(t: Tables) -> DataFrame:
 
 @_query
 def mrp_compare_long(t: Tables) -> DataFrame:
-    return _arrival_day(mrp.compare_long(_compared(t), max_items=5000))
+    return _arrival_day(mrp.compare_long(_compared(t)))
+
+
+@_query
+def mrp_compare_items(t: Tables) -> DataFrame:
+    return mrp.compare_items(_compared(t))
 
 
 @_query

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ("-", "N/A", "nan", "None", "NaT")
 
 # The date layouts tried in order when a caller names none.
-ISO_FORMATS = ("yyyy-MM-dd[ HH:mm[:ss]]", "yyyy-MM-dd'T'HH:mm:ss")
+ISO_FORMATS = (
+    "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS]]]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+)
 
 # Characters that count as whitespace around a cell.
 WHITESPACE = " \t\n\r\f\v\u00a0\u2007\u202f\u3000"

@@ -58,7 +58,9 @@ def requirement_gained(pre_no_req: DataFrame, post_no_req: DataFrame) -> DataFra
 
 def late_lines(po: DataFrame, as_of: dt.date | None = None, over: int = 30) -> DataFrame:
     """Numbered order lines more than ``over`` days late (enriched lines)."""
-    late = po.withColumn("days_late", whole_days(as_of_timestamp(as_of), F.col("arrival_date")))
+    before = as_of_timestamp(as_of) - dt.timedelta(days=over)
+    late = po.where(F.col("arrival_date") < before)  # reaches the scan, unlike the day count
+    late = late.withColumn("days_late", whole_days(as_of_timestamp(as_of), F.col("arrival_date")))
     return late.where((F.col("po_number") != NO_PO) & (F.col("days_late") > over)).select(
         "item", "po_number", "vendor", "arrival_date", "days_late", "qty"
     )
@@ -136,19 +138,25 @@ def compare(
     return date_range(in_list(compared, "item", items), "arrival_date", dates)
 
 
-def compare_long(compared: DataFrame, max_items: int = 20) -> DataFrame:
-    """Long form of a comparison; no rows when it covers more than ``max_items`` items."""
-    enough = compared.select("item").distinct().limit(max_items + 1)
-    count = enough.agg(F.count("*").alias("n")).scalar()
-    long = compared.unpivot(
+def compare_long(compared: DataFrame) -> DataFrame:
+    """Long form of a comparison."""
+    return compared.unpivot(
         ["item", "arrival_date"], ["qty_before", "qty_after"], "run", "qty"
     )
-    return long.where(count <= F.lit(max_items))
+
+
+def compare_items(compared: DataFrame) -> DataFrame:
+    """How many items a comparison covers, for callers that draw only so many."""
+    return compared.agg(F.countDistinct("item").alias("items"))
 
 
 def due_within(po: DataFrame, as_of: dt.date | None = None, days: int = 7) -> DataFrame:
     """Lines that arrive between today and ``days`` days from now."""
-    left = po.withColumn("days_left", _days_left(as_of))
+    today = as_of_timestamp(as_of)
+    near = (F.col("arrival_date") >= today) & (
+        F.col("arrival_date") < today + dt.timedelta(days=days + 1)
+    )
+    left = po.where(near).withColumn("days_left", _days_left(as_of))
     return left.where(F.col("days_left").between(0, days)).select(
         "item", "arrival_date", "days_left", "qty"
     )
@@ -156,7 +164,8 @@ def due_within(po: DataFrame, as_of: dt.date | None = None, days: int = 7) -> Da
 
 def overdue_lines(po: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """Lines whose arrival date has passed, with the days since then."""
-    left = po.withColumn("days_left", _days_left(as_of)).where("days_left < 0")
+    past = po.where(F.col("arrival_date") < as_of_timestamp(as_of))
+    left = past.withColumn("days_left", _days_left(as_of)).where("days_left < 0")
     return left.select("item", "arrival_date", F.abs("days_left").alias("days_late"), "qty")
 
 

@@ -52,7 +52,9 @@ def production_page(
         "jobs_by_shift": production.distinct_by(rows, "shift", "job_no"),
     }
     if downtime is not None:
-        stops = production.filter_downtime(downtime, dates, shifts, wc_types, wcs)
+        # without a choice, the work centres left in the filtered timecards are chosen
+        centres = rows.select("wc").distinct() if wcs is None else wcs
+        stops = production.filter_downtime(downtime, dates, shifts, wc_types, centres)
         page["downtime_by_wc"] = production.downtime_by_wc(stops)
         if reasons is not None:
             page["downtime_by_reason"] = production.downtime_by_reason(stops, reasons)
@@ -99,6 +101,7 @@ def mrp_page(
         compared = mrp.compare(before, after, type_, vendor, po_no, items, dates)
         lines = equal_to(mrp.select_po(after, type_, vendor), {"po_number": po_no})
         page["comparison"] = compared
+        page["comparison_items"] = mrp.compare_items(compared)
         page["comparison_long"] = mrp.compare_long(compared)
         page["alerts"] = mrp.alert_counts(lines, as_of)
         page["due_in_7_days"] = mrp.due_within(lines, as_of)

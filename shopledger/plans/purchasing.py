@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions import exact_sum, month_name, month_start
@@ -144,10 +146,17 @@ def _chosen(
 ) -> DataFrame:
     rows = in_list(forecast, "type", types).dropna(subset=["type", "wanted_on"])
     if years is not None:
-        rows = rows.where(F.year("wanted_on").isin(list(years)))
+        spans = [_within_year(int(y)) for y in dict.fromkeys(years)]
+        rows = rows.where(reduce(lambda a, b: a | b, spans, F.lit(False)))
     return rows
 
 
+def _within_year(year: int) -> Column:
+    """A date range, which reaches the scan."""
+    first, next_ = (F.lit(dt.date(y, 1, 1)).cast("timestamp_ntz") for y in (year, year + 1))
+    return (F.col("wanted_on") >= first) & (F.col("wanted_on") < next_)
+
+
 def _monthly(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type", month_start(F.col("wanted_on")).alias("month")).agg(
         exact_sum(F.col("quantity")).alias("quantity")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shopledger.functions import clean_cell, clean_header, to_number, to_time
 from shopledger.functions.cleaning import ISO_FORMATS
 from shopledger.operators.ordered import join_per_group
-from shopledger.sources.cells import cell, first_rows
+from shopledger.sources.cells import cell, first_rows, overflowing
 
 # The leading columns of the sales ladder.
 SALES_LADDER_COLUMNS = ("Item", "LMX", "Cliente", "Unit Price")
@@ -28,11 +28,13 @@ def load_plan_ladder(
     """Snapshots ``(item, snapshot, plan_date, qty, row_no)`` of an item-by-date plan.
 
     Snapshots are numbered by file path, or in the order of ``files``. A file with
-    fewer than two columns is left out and keeps its number.
+    fewer than two columns is left out and keeps its number; ``plan_ladder_rejects``
+    lists it.
     """
     snapshots = raw.select("file").distinct().withColumn("snapshot", _snapshot(files))
-    per_file = first_rows(raw).join(snapshots, "file").where(
-        (F.size(F.filter("cells", lambda c: c.isNotNull())) >= 2) & F.col("snapshot").isNotNull()
+    usable = first_rows(raw).join(overflowing(raw), "file", "left_anti")
+    per_file = usable.join(snapshots, "file").where(
+        (_columns() >= 2) & F.col("snapshot").isNotNull()
     ).select(
         "file",
         "snapshot",
@@ -53,6 +55,31 @@ def load_plan_ladder(
     )
 
 
+def plan_ladder_rejects(raw: DataFrame) -> DataFrame:
+    """``(file, reason)`` of every file that ``load_plan_ladder`` leaves out for its content."""
+    few = first_rows(raw).where(_columns() < 2)
+    return _rejects(raw, few.select("file", F.lit("fewer than two columns").alias("reason")))
+
+
+def sales_ladder_rejects(raw: DataFrame) -> DataFrame:
+    """``(file, reason)`` of every file that ``load_sales_ladder`` leaves out."""
+    lacks = F.array_except(
+        F.array(*[F.lit(c) for c in SALES_LADDER_COLUMNS]), F.transform("cells", clean_header)
+    )
+    reason = F.concat(F.lit("missing columns: "), F.array_join(lacks, ", "))
+    return _rejects(raw, first_rows(raw).where(F.size(lacks) > 0).select("file", reason.alias("reason")))
+
+
+def _columns() -> Column:
+    return F.size(F.filter("cells", lambda c: c.isNotNull()))
+
+
+def _rejects(raw: DataFrame, unfit: DataFrame) -> DataFrame:
+    wide = overflowing(raw)
+    told = wide.select("file", F.lit("too many columns").alias("reason"))
+    return told.unionByName(unfit.join(wide, "file", "left_anti"))
+
+
 def load_sales_ladder(
     raw: DataFrame, *, date_formats: Sequence[str] = ISO_FORMATS
 ) -> DataFrame:
@@ -60,12 +87,14 @@ def load_sales_ladder(
 
     A ladder lists its dates twice, first for units and then for amounts. An amount
     column is the second occurrence of a date, or a date marked with the suffix
-    ``.1``. Files without the four leading columns are left out.
+    ``.1``. Files without the four leading columns are left out; ``sales_ladder_rejects``
+    lists them.
     """
     names = F.transform("cells", clean_header)
     required = F.array(*[F.lit(c) for c in SALES_LADDER_COLUMNS])
     per_file = (
         first_rows(raw)
+        .join(overflowing(raw), "file", "left_anti")
         .select("file", F.col("row_no").alias("header_row"), names.alias("names"))
         .where(F.size(F.array_except(required, "names")) == 0)
         .select(

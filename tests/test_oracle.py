@@ -18,7 +18,7 @@ prod_employees_by_shift prod_jobs_by_shift prod_downtime_flatten prod_downtime_b
 prod_downtime_by_reason plan_compliance plan_missing_parts plan_detail
 mrp_po_lines mrp_no_requirement mrp_po_enriched mrp_items_by_type mrp_requirement_lost
 mrp_requirement_gained mrp_late_over_30 mrp_no_req_listing mrp_no_req_by_vendor
-mrp_filter_options mrp_compare mrp_compare_long mrp_due_7_days mrp_late_lines
+mrp_filter_options mrp_compare mrp_compare_long mrp_compare_items mrp_due_7_days mrp_late_lines
 ladder_amounts ladder_by_customer ladder_by_month sales_periods sales_totals sales_grid
 sales_top5 sales_bottom5 sales_by_customer sales_by_month sales_customer_series
 sales_item_detail sales_customers

@@ -148,8 +148,8 @@ def test_compare(runs):
     assert mrp.compare(*runs, "RAW", "X", dates=span).count() == 2
     with pytest.raises(ValueError):
         mrp.compare(*runs, "Todos", "X")
-    assert mrp.compare_long(got, max_items=4).count() == 8
-    assert mrp.compare_long(got, max_items=3).count() == 0
+    assert mrp.compare_long(got).count() == 8
+    assert rows(mrp.compare_items(got)) == [(4,)]
 
 
 def test_lateness(runs):
@@ -403,6 +403,10 @@ def test_production_page(spark, cards):
     options = rows(page["options"])
     assert [v for n, v in options if n == "wc_type"] == ["PRESS"]
     assert sorted(v for n, v in options if n == "shift") == ["A", "B"]
+    foreign = stops.unionByName(stops.withColumns({"wc": F.lit("Z9"), "downtime_h": F.lit(9.0)}))
+    page = pages.production_page(full, foreign, shifts=["A"], order=["row_no"])
+    assert "Z9" not in [r.wc for r in page["downtime_by_wc"].collect()]
+    page = pages.production_page(full, stops, dim, shifts=["A"], wcs=["P1"], order=["row_no"])
     assert len(page) == 17 and len(pages.production_page(full, order=["row_no"])) == 15
     assert production.repeated_reasons(dim).count() == 0
     assert production.repeated_reasons(dim.unionByName(dim)).count() == 1

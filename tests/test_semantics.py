@@ -217,3 +217,8 @@ def test_display_text(spark):
     a, b = F.col("a"), F.col("b")
     got = df.select(money_text(a), number_text(b), integer_text(b))
     assert rows(got) == [("$1,234,567.12", "2", "2")]
+
+
+def test_fractions_of_seconds_are_read(spark):
+    got = values(spark, to_time(F.col("c")), ["2025-01-01 10:30:00.500", "2025-01-01T10:30:00.25"])
+    assert [t.microsecond for t in got] == [500000, 250000]
