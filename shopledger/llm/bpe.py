@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -32,7 +33,9 @@ MASK = U64(127)
 #: Characters the short cut may hold: printable ASCII and Latin-1 letters. They are stable
 #: under canonical composition and have one-to-one lower case.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: The vocabulary's own split of a lower-cased plain word.
+_PLAIN_ASCII = re.compile(rb"[!-~]+")
+#: The vocabulary's own split of a lower-cased plain word, for ASCII bytes and for text.
+_SPLIT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")
 _SPLIT = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]"
     r"|[^0-9a-zß-öø-ÿ]+"
@@ -119,17 +122,28 @@ class Encoder:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _bit(self, bit: str) -> bytes:
+    def _bit(self, bit: bytes) -> bytes:
         letters = self._letters
-        shown = bit if bit.isascii() else "".join([letters[b] for b in bit.encode()])
-        return np.array([t.id for t in self._model.tokenize(shown)], "<u4").tobytes()
+        shown = bit.decode() if bit.isascii() else "".join([letters[b] for b in bit])
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _word(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8", "surrogatepass")
-        plain = self._plain and len(raw) < 200 and _PLAIN.fullmatch(text)
-        if plain and not ("<" in text and self._control.search(text)):
-            return b"".join(map(self._bits.__getitem__, _SPLIT.findall(text.lower())))
-        return self.whole(text)
+        if self._plain and len(raw) < 200:
+            if raw.isalpha():  # ASCII letters only
+                return self._bits[raw.lower()]
+            if raw.isascii():
+                if raw.isalnum() or (_PLAIN_ASCII.fullmatch(raw) and not self._controlled(raw)):
+                    return b"".join(map(self._bits.__getitem__, _SPLIT_ASCII.findall(raw.lower())))
+            else:
+                text = raw.decode("utf-8", "surrogatepass")
+                if _PLAIN.fullmatch(text) and not self._controlled(raw):
+                    bits = [b.encode() for b in _SPLIT.findall(text.lower())]
+                    return b"".join(map(self._bits.__getitem__, bits))
+        return self.whole(raw.decode("utf-8", "surrogatepass"))
+
+    def _controlled(self, raw: bytes) -> bool:
+        """Whether a word may hold a control string."""
+        return b"<" in raw and self._control.search(raw.decode()) is not None
 
     def _of(self, words: list[bytes]) -> bytes:
         """Ids of words, one after the other; a very long word is not remembered."""
