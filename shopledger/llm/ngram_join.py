@@ -96,8 +96,17 @@ def _shared(docs: DataFrame) -> DataFrame:
     return counts.where("n > 1")
 
 
+def _slots(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each shingle, from different bits of its hash."""
+    mask = U64((1 << SLOTS_LOG2) - 1)
+    return (shingle & mask).astype(np.int64), ((shingle >> U64(SLOTS_LOG2)) & mask).astype(np.int64)
+
+
 def _levels(shared: DataFrame) -> np.ndarray:
-    """How common the commonest shingle of each slot is, 0 for slots without a shared one."""
+    """How common the commonest shingle of each slot is, 0 for slots without a shared one.
+
+    A shingle's level is the lesser of its two slots': it is shared by texts only if both are set.
+    """
 
     def fill(frames):
         import pandas as pd
@@ -105,8 +114,9 @@ def _levels(shared: DataFrame) -> np.ndarray:
 
         table = np.zeros(1 << SLOTS_LOG2, np.uint8)
         for frame in frames:
-            slot = (frame["shingle"].to_numpy(np.int64).view(np.uint64) >> U64(64 - SLOTS_LOG2)).astype(np.int64)
-            np.maximum.at(table, slot, np.minimum(np.log2(frame["n"].to_numpy(float)) * 4, 250).astype(np.uint8))
+            level = np.minimum(np.log2(frame["n"].to_numpy(float)) * 4, 250).astype(np.uint8)
+            for slot in _slots(frame["shingle"].to_numpy(np.int64).view(np.uint64)):
+                np.maximum.at(table, slot, level)
         packer, rows = zstandard.ZstdCompressor(level=1), []
         for k in range(0, len(table), BLOCK):
             if table[k : k + BLOCK].any():
@@ -139,7 +149,8 @@ def _levels(shared: DataFrame) -> np.ndarray:
 
 def _classes_of(shingle: np.ndarray, levels) -> np.ndarray:
     """The first key of the global order: rare shingles first, those not counted last."""
-    level = levels.value[(shingle >> U64(64 - SLOTS_LOG2)).astype(np.int64)]
+    one, other = _slots(shingle)
+    level = np.minimum(levels.value[one], levels.value[other])
     return np.where(shingle < COUNTED, level, np.uint8(255))
 
 
