@@ -12,11 +12,8 @@ PLAIN = {
 
 
 def _sum(x: str) -> str:
-    """Sum of the values taken to 1/10,000; 0 when there are none."""
-    return (
-        f"CAST(COALESCE(SUM(CAST(round_even(({x}) * 10000.0::DOUBLE, 0) AS BIGINT)), 0) AS DOUBLE)"
-        " / 10000.0::DOUBLE"
-    )
+    """Decimal sum of the values, which the views give four decimals; 0 when there are none."""
+    return f"CAST(COALESCE(SUM(CAST({x} AS DECIMAL(20, 4))), 0) AS DOUBLE)"
 
 
 def _mean(x: str) -> str:

@@ -11,6 +11,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+def _num(x: str) -> str:
+    """A value with four decimals, so that both engines add up the same exact numbers."""
+    return f"(floor(({x}) * 10000 + 0.5) / 10000)"
+
+
 # alias prefix -> (join, tables it builds on)
 JOINS = {
     "o": ("JOIN {orders} o ON o.o_orderkey = l.l_orderkey", ""),
@@ -64,20 +69,20 @@ TIMECARDS = View(
         "job_no": "CAST(l.l_partkey AS STRING)",
         "employee": "CAST(o.o_custkey AS STRING)",
         "expected_run_rate": "p.p_retailprice",
-        "actual_run_rate": "l.l_extendedprice / l.l_quantity",
+        "actual_run_rate": _num("l.l_extendedprice / l.l_quantity"),
         "quantity": "l.l_quantity",
-        "scrap": "l.l_quantity * l.l_tax",
+        "scrap": _num("l.l_quantity * l.l_tax"),
         "hours": "l.l_quantity / 10",
-        "efficiency": "100 * (1 - l.l_discount)",
-        "oee": "100 * (1 - l.l_discount) * (1 - l.l_tax)",
-        "prod_downtime_h": "10 * l.l_discount",
-        "nonprod_downtime_h": "10 * l.l_tax",
+        "efficiency": _num("100 * (1 - l.l_discount)"),
+        "oee": _num("100 * (1 - l.l_discount) * (1 - l.l_tax)"),
+        "prod_downtime_h": _num("10 * l.l_discount"),
+        "nonprod_downtime_h": _num("10 * l.l_tax"),
         "reason_id": REASON,
     },
     extra=LINE_ORDER,
 )
 
-DOWNTIME = View({"wc": "s.s_name", "downtime_h": "10 * l.l_discount", "reason_id": REASON})
+DOWNTIME = View({"wc": "s.s_name", "downtime_h": _num("10 * l.l_discount"), "reason_id": REASON})
 
 PRODUCED = (
     "CASE WHEN l.l_linestatus = 'F' THEN l.l_quantity "
@@ -104,7 +109,7 @@ SALES = View(
         "invoice_date": "l.l_shipdate",
         "customer": "c.c_name",
         "item": "CAST(l.l_partkey AS STRING)",
-        "amount": "l.l_extendedprice * (1 - l.l_discount)",
+        "amount": _num("l.l_extendedprice * (1 - l.l_discount)"),
     },
     where=(
         "l.l_linestatus = 'F' AND l.l_shipdate < TIMESTAMP '2000-01-01 00:00:00' "

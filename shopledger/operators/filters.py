@@ -97,7 +97,7 @@ def option_rows(
     The result has rows ``(option, value)``. ``options`` maps a list's name to its
     column and to the condition under which a row contributes; ``times`` is a time
     column and its condition, reported as ``date_min`` and ``date_max``. Rows are
-    expanded in memory and reduced before the only shuffle.
+    expanded in memory and reduced before they are shuffled; the short lists are sorted last.
     """
     no_text, no_day = F.lit(None).cast("string"), F.lit(None).cast("date")
     entries = [
@@ -124,7 +124,7 @@ def option_rows(
     bounds = F.array(_option("date_min", F.col("lo")), _option("date_max", F.col("hi")))
     listed = F.array(F.struct("option", "value"))
     rows = F.when(F.col("option") == "date", bounds).otherwise(listed)
-    return grouped.select(F.inline(rows))
+    return grouped.select(F.inline(rows)).orderBy("option", "value")
 
 
 def _option(name: str, day: Column) -> Column:

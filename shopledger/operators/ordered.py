@@ -35,8 +35,9 @@ def forward_fill(
     """Replace nulls by the last non-null value before them in the same ``by`` group.
 
     A plain window puts a whole group in one task. Here a group is cut into buckets
-    of consecutive ``order`` numbers: rows are filled inside their bucket, and what
-    a bucket inherits comes from a window over one summary row per bucket.
+    of consecutive ``order`` numbers, which are unique in a group: rows are filled inside
+    their bucket, and what a bucket inherits is found by number, in a window over one
+    summary row per bucket, and fetched from the row of that number.
     ``bucket_rows=None`` uses the plain window, for many small groups.
     """
     so_far = (Window.unboundedPreceding, Window.currentRow)
@@ -50,20 +51,20 @@ def forward_fill(
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(*so_far)
     filled = rows.withColumn("_inside", F.last(column, ignorenulls=True).over(inside))
 
-    last_set = (
-        rows.where(F.col(column).isNotNull())
-        .groupBy(*keys)
-        .agg(F.max_by(column, order).alias("_last"))
-    )
+    last_set = F.max(F.when(F.col(column).isNotNull(), F.col(order))).alias("_last")
     before = (
         Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     inherited = (
-        rows.select(*keys)
-        .distinct()
-        .join(last_set, keys, "left")
-        .select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_inherited"))
+        rows.groupBy(*keys)
+        .agg(last_set)
+        .select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_last"))
+        .where("_last IS NOT NULL")
+    )
+    values = df.where(F.col(column).isNotNull()).select(
+        *by, F.col(order).alias("_last"), F.col(column).alias("_inherited")
     )
+    inherited = inherited.join(values, [*by, "_last"]).drop("_last")
     value = F.coalesce("_inside", "_inherited")
     return (
         filled.join(inherited, keys, "left").withColumn(column, value).select(*df.columns)

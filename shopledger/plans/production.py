@@ -108,7 +108,7 @@ def kpis(tc: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
 
 
 def run_rate(tc: DataFrame) -> DataFrame:
-    """Mean expected and actual run rate per work centre that has both, long form."""
+    """Mean expected and actual run rate per work centre that has both, long form, fastest expected first."""
     means = (
         tc.where(F.col("wc").isNotNull())
         .groupBy("wc")
@@ -118,7 +118,8 @@ def run_rate(tc: DataFrame) -> DataFrame:
         )
         .dropna(subset=["expected", "actual"])
     )
-    return means.unpivot("wc", ["expected", "actual"], "kind", "run_rate")
+    ordered = sorted_by(means, "expected", "wc", descending=True)
+    return ordered.unpivot("wc", ["expected", "actual"], "kind", "run_rate")
 
 
 def distinct_by(tc: DataFrame, key: str, counted: str) -> DataFrame:
