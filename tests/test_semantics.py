@@ -222,3 +222,11 @@ def test_display_text(spark):
 def test_fractions_of_seconds_are_read(spark):
     got = values(spark, to_time(F.col("c")), ["2025-01-01 10:30:00.500", "2025-01-01T10:30:00.25"])
     assert [t.microsecond for t in got] == [500000, 250000]
+
+
+def test_sums_keep_all_decimals_and_skip_nan(spark):
+    df = spark.createDataFrame([(0.00004,), (0.00004,), (0.00004,), (float("nan"),), (None,)], "x double")
+    got = df.agg(exact_sum(F.col("x")).alias("s"), exact_mean(F.col("x")).alias("m")).first()
+    assert abs(got.s - 0.00012) < 1e-18 and abs(got.m - 0.00004) < 1e-18
+    big = spark.createDataFrame([(1e18,), (2.5,), (1e18,)], "x double")
+    assert big.agg(exact_sum(F.col("x"))).first()[0] == 2e18
