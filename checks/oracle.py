@@ -103,9 +103,9 @@ CTES = {
     "item_detail": (
         "SELECT COALESCE(a.item, b.item) AS item, COALESCE(a.v, 0) AS forecast, "
         "COALESCE(b.v, 0) AS sold, COALESCE(b.v, 0) - COALESCE(a.v, 0) AS difference FROM "
-        f"(SELECT item, {_sum('amount')} AS v FROM forecast WHERE customer = '{q.CUSTOMER}' "
+        f"(SELECT item, {_sum('amount')} AS v FROM forecast WHERE segment = '{q.SEGMENT}' "
         f"AND {_month('ship_on')} = DATE '{q.PERIOD}' GROUP BY 1) a FULL JOIN "
-        f"(SELECT item, {_sum('amount')} AS v FROM sales WHERE customer = '{q.CUSTOMER}' "
+        f"(SELECT item, {_sum('amount')} AS v FROM sales WHERE segment = '{q.SEGMENT}' "
         f"AND {_month('invoice_date')} = DATE '{q.PERIOD}' GROUP BY 1) b ON a.item = b.item"
     ),
     "monthly": (

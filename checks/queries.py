@@ -26,6 +26,7 @@ WC_TYPES = ["AMERICA", "ASIA", "EUROPE"]
 WC_TYPE = "AMERICA"
 TYPE, VENDOR = "ECONOMY", "Supplier#000000001"
 CUSTOMER = "Customer#000000005"
+SEGMENT = "BUILDING"
 PERIOD = dt.date(1997, 3, 1)
 WEEK = dt.date(1997, 3, 3)
 PLATFORMS = ["BUILDING", "FURNITURE"]
@@ -410,14 +411,20 @@ def sales_customer_series(t: Tables) -> DataFrame:
     return sales.customer_series(*_both(t, "customer", "amount"), CUSTOMER, "month")
 
 
+def _by_segment(t: Tables) -> list[DataFrame]:
+    """Both sides with the market segment as customer, which has rows in every month at any scale."""
+    sides = _both(t, "segment", "item", "amount")
+    return [side.withColumnRenamed("segment", "customer") for side in sides]
+
+
 @_query
 def sales_item_detail(t: Tables) -> DataFrame:
-    return sales.item_detail(*_both(t, "customer", "item", "amount"), CUSTOMER, PERIOD)
+    return sales.item_detail(*_by_segment(t), SEGMENT, PERIOD)
 
 
 @_query
 def sales_item_detail_long(t: Tables) -> DataFrame:
-    detail = sales.item_detail(*_both(t, "customer", "item", "amount"), CUSTOMER, PERIOD)
+    detail = sales.item_detail(*_by_segment(t), SEGMENT, PERIOD)
     return sales.item_detail_long(detail)
 
 

@@ -153,12 +153,11 @@ class Tables:
         """The sales ladder sheet: one amount column per month."""
         lines = self.view(views.SALES_LADDER)
         keys = ["part_key", "item", "lmx", "customer", "unit_price"]
-        months = [m for m in MONTHS if m.month != 7]
-        wide = _by_month(lines, keys, "line_amount", months)
+        wide = _by_month(lines, keys, "line_amount", MONTHS)
         header = ["Item", "LMX", "Cliente", "Unit Price"]
-        header += [f"{m.isoformat()} 00:00:00.1" for m in months]
+        header += [f"{m.isoformat()} 00:00:00.1" for m in MONTHS]
         fixed = [F.col(k) for k in ("item", "lmx", "customer")]
-        cells = [*fixed, F.col("unit_price").cast("string"), *_month_cells(months)]
+        cells = [*fixed, F.col("unit_price").cast("string"), *_month_cells(MONTHS)]
         rows = wide.select(
             F.lit("ladder").alias("file"),
             (F.col("part_key") + 1).alias("row_no"),

@@ -46,6 +46,7 @@ def test_the_catalogue_is_complete():
 def test_query_agrees_with_its_sql(spark, con, name):
     ok, detail = check(spark, con, SMALL, name)
     assert ok, detail
+    assert not detail.startswith("0 rows"), "agreement on nothing shows nothing"
 
 
 def test_the_comparison_notices_differences():
