@@ -15,8 +15,10 @@ The steps are those of difference-cover suffix sorting, kept to the 100 bytes th
 Windows never cross texts, and are judged on the input. Order is by ``doc_id``, then place.
 Sorting all suffixes instead would move some 20 bytes for each byte of text.
 
-Bytes are compared by 64-bit hashes of random polynomials. A key with very many names is
-taken apart into its windows, which Spark groups, so that no task holds a whole key.
+Bytes are compared by 64-bit hashes of random polynomials. Keys of passages that very many
+documents share are spread by row over many tasks, where all but one row a name is settled.
+A key with very many names is taken apart into its windows, which Spark groups, so that no
+task holds a whole key.
 
 Defined cases: a null text is empty, and texts under 100 bytes keep every byte; rows that
 repeat a ``doc_id`` are ordered by a number given once; null ids come first; an empty table
@@ -39,40 +41,69 @@ from .textblock import TextBlock, U64, batches, mix
 BITS_LOG2 = 26
 #: Names of one key that one task compares.
 MOST_NAMES = 50_000
-_SAMPLES = "key long, name long, _row long, start int, places int"
+_SAMPLES = "key long, name long, _row long, start int, places int, salt int"
+#: One document in so many is looked at for frequent keys, of which so many at most are spread over so many tasks each.
+LOOKED_AT, MOST_HOT, SALTS, SEEN = 64, 2_000, 64, 32
 
 
 def _bit(row: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (mix(row.view(np.uint64) * U64(0x9E3779B97F4A7C15) + start.astype(np.uint64))) & U64((1 << BITS_LOG2) - 1)
 
 
-def _samples(docs: DataFrame) -> DataFrame:
+def _samples(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The samples; those of the keys in ``hot`` carry a salt of 1 or more, taken from their row."""
+
     def run(frames):
         import pandas as pd
 
         for frame in batches(frames, "text"):
             text, start, places, key, name, _, _ = anchors(frame["text"].tolist())
+            key, rows = key.view(np.int64), frame["_row"].to_numpy(np.int64)[text]
+            salt = 1 + (_bit(rows, np.zeros(len(rows), np.int64)) % U64(SALTS)).astype(np.int32)
             yield pd.DataFrame(
                 {
-                    "key": key.view(np.int64), "name": name.view(np.int64), "_row": frame["_row"].to_numpy(np.int64)[text],
+                    "key": key, "name": name.view(np.int64), "_row": rows,
                     "start": start.astype(np.int32), "places": places.astype(np.int32),
+                    "salt": np.where(np.isin(key, hot), salt, 0).astype(np.int32),
                 }
             )
 
     return docs.select("_row", "text").mapInPandas(run, _SAMPLES)
 
 
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Keys that many documents are likely to have, at most ``MOST_HOT``.
+
+    They only decide which rows are spread: a key that is missed costs time, not results.
+    """
+    some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(LOOKED_AT)) == 0)
+    counts = _samples(some, np.zeros(0, np.int64)).groupBy("key").count().where(F.col("count") >= SEEN)
+    top = counts.orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key").toPandas()
+    return top["key"].to_numpy(np.int64)
+
+
 def _named(samples: DataFrame) -> DataFrame:
-    """Samples that are not the first with their bytes (``again``), and first ones whose key has other bytes too."""
-    key = Window.partitionBy("key")
-    order = key.orderBy("name", "_row", "start")
-    rows = samples.withColumns(
-        {
-            "again": F.coalesce(F.lag("name").over(order) == F.col("name"), F.lit(False)),
-            "several": F.min("name").over(key) != F.max("name").over(key),
-        }
-    )
-    return rows.where("again OR several").select("key", "_row", "start", "places", "again")
+    """Samples that are not the first with their bytes (``again``), and first ones whose key has other bytes too.
+
+    A frequent key is compared inside each of its salts first. What is first there, one row
+    for a name and salt, is compared again by key and name.
+    """
+    part = Window.partitionBy("key", "salt")
+    again = F.coalesce(F.lag("name").over(part.orderBy("name", "_row", "start")) == F.col("name"), F.lit(False))
+    several = F.min("name").over(part) != F.max("name").over(part)
+    rows = samples.withColumns({"again": again, "several": several}).where("again OR several OR salt > 0")
+    return rows.select("key", "name", "_row", "start", "places", "again", "salt")
+
+
+def _settled(named: DataFrame) -> DataFrame:
+    """The rows of ``_named`` with frequent keys compared across their salts."""
+    columns = ["key", "_row", "start", "places", "again"]
+    firsts = named.where("salt > 0 AND NOT again")
+    same = Window.partitionBy("key", "name").orderBy("_row", "start")
+    firsts = firsts.withColumn("again", F.row_number().over(same) > 1)
+    names = firsts.groupBy("key").agg((F.min("name") != F.max("name")).alias("several"))  # MOST_HOT rows at most
+    firsts = firsts.join(F.broadcast(names), "key").where("again OR several")
+    return named.where("salt = 0 OR again").select(*columns).union(firsts.select(*columns))
 
 
 def _open_bits(opened: DataFrame) -> np.ndarray:
@@ -198,7 +229,10 @@ def _taken_apart(sent: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(_row, start, end) of the byte stretches that occur earlier; they may overlap."""
-    named = keep(_named(_samples(docs)), "named")
+    hot = _frequent(docs)
+    named = keep(_named(_samples(docs, hot)), "named")
+    if len(hot):
+        named = keep(_settled(named), "settled")
     opened = named.where("NOT again")
     bits = docs.sparkSession.sparkContext.broadcast(_open_bits(opened))
     sent = _sent(docs, bits)

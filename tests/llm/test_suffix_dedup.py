@@ -60,6 +60,16 @@ def test_crowded_keys_lose_nothing(passages, monkeypatch):
     check(passages)
 
 
+@pytest.mark.parametrize("names", [3, 50_000])
+def test_frequent_keys_lose_nothing(spark, passages, monkeypatch, names):
+    monkeypatch.setattr(suffix_dedup, "LOOKED_AT", 1)
+    monkeypatch.setattr(suffix_dedup, "SEEN", 2)
+    monkeypatch.setattr(suffix_dedup, "MOST_NAMES", names)
+    assert len(suffix_dedup._frequent(suffix_dedup.numbered(passages))) > 5
+    check(passages)
+    check(odd.documents(spark, [odd.PROSE * 2] * 40 + ["ab" + odd.PROSE * 2 + "cd", None]))
+
+
 def test_deduplicate(spark):
     docs = odd.documents(spark, [odd.PROSE * 2, "ab" + odd.PROSE * 2 + "cd", None])
     got = suffix_dedup.deduplicate(docs)
