@@ -371,7 +371,11 @@ def _classes(docs: DataFrame, levels) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: ``_row`` (unique), doc_id, n_shingles, component_id and ``first``, the component's least ``_row``."""
-    docs = numbered(docs)
+    return _named_rows(numbered(docs))
+
+
+def _named_rows(docs: DataFrame) -> DataFrame:
+    """The same for a numbered table. Numbers may differ between two numberings, so who joins on them gives its own."""
     levels = docs.sparkSession.sparkContext.broadcast(_levels(_shared(docs)))
     rows = keep(_measured(docs), "shingles")
     classes = _classes(docs, levels).select(F.col("node").alias("set"), "root")
@@ -393,5 +397,5 @@ def similar(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The first row of every component, whole, in the columns the rows came with."""
     rows = numbered(docs)
-    first = near_duplicates(docs if rows is docs else rows.drop("_row")).where("_row = first").select("_row")
+    first = _named_rows(rows).where("_row = first").select("_row")
     return rows.join(first, "_row", "left_semi").select(*docs.columns)

@@ -86,3 +86,14 @@ def test_one_of_each(spark):
     texts = [r.text for r in kept.collect()]
     assert texts.count("word") == 1 and len(texts) == docs.count() - 2 - 2
     assert ngram_join.similar(odd.empty(spark)).count() == 0
+
+
+def test_one_of_each_numbers_once(spark):
+    """Row numbers of a sampled range sort differ from one numbering to the next on a table of this size."""
+    n = 100_000
+    word = "concat('w', {0} * 31 + {1})"
+    text = "concat_ws(' ', " + ", ".join(word.format("base", k) for k in range(8)) + ")"
+    docs = spark.range(0, n, 1, 40).selectExpr("id", "IF(id % 4 = 3, id - 1, id) AS base")  # one of four is a copy
+    docs = docs.selectExpr("CASE WHEN id % 9973 = 0 THEN NULL WHEN id % 9001 = 1 THEN 5 ELSE id END AS doc_id", f"{text} AS text")
+    kept = ngram_join.one_of_each(docs.repartition(40))
+    assert kept.count() == kept.select("text").distinct().count() == docs.select("text").distinct().count()
