@@ -2,9 +2,9 @@
 
 1. Each text becomes the set of hashes of its five-word shingles. Texts with equal sets are
    one class from here on, named by a hash of the set.
-2. In the global order, rare shingles come first. Spark counts the shingles in the lowest
-   part of the hash range; a table of fixed size keeps how common those are that occur more
-   than once; the rest of the range comes last, by hash. Two sets that are similar enough
+2. In the global order, rare shingles come first. All shingles are counted, by 40 bits of
+   their hash; a table of fixed size keeps how common those are that occur more than once.
+   Two sets that are similar enough
    share a shingle among their first ones, so only those meet, and of these only shingles
    that the table has. Sizes split what meets at one shingle into runs. The connected runs
    are candidate groups.
@@ -13,9 +13,12 @@
    behind it, and leaves a branch when what remains of the longest set there can't reach the
    threshold, or when all sets there are in its component already.
 
-Groups too large for one task are cut into blocks; first one set of each component visits
-the other blocks, then every set outside the group's largest component does, so that no
-link between components is lost.
+Groups too large for one task are cut into blocks of sets of like size. Each block is linked
+in itself; then one set of its largest component visits other blocks, and then every set
+outside the group's largest component does, so that no link between components is lost.
+A set visits the blocks that hold a set of fitting size with which it shares a first
+shingle. Visitors are not stored, and a block with very many is copied, so that a task holds
+one block and the names of as many visitors.
 
 Defined cases: texts with fewer than five words have their whole word sequence as the only
 shingle; null and wordless texts have none and are linked with nothing; repeated rows share
@@ -37,8 +40,9 @@ WORDS = 5
 #: Slots of the table of common shingles (a byte each), and bits of the candidates' table:
 #: fixed, so that both may be broadcast whatever the input. A fuller table costs work only.
 SLOTS_LOG2, BITS_LOG2, BLOCK = 24, 24, 1 << 16
-#: The part of the hash range that is counted: more than the share of a set that comes first.
-COUNTED = U64(int(0.3 * 2**64))
+#: Bits of a shingle's hash that tell it from others when it is counted, shingles that a task
+#: counts before it sends them, and parts of the hash range for each partition.
+KEY_BITS, HELD, RANGES = 40, 3_000_000, 4
 #: Sets in one block of a candidate group.
 MOST_SETS = 3000
 
@@ -81,28 +85,63 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select("_row", "doc_id", "text").mapInPandas(run, "_row long, doc_id long, n long, set long")
 
 
-def _shared(docs: DataFrame) -> DataFrame:
-    """(shingle, count) of the counted shingles that occur in more than one text."""
+def _pack(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys as differences, and their counts, byte by byte of the numbers; equal bytes cost little."""
+    import zstandard
+
+    planes = [np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T, n.astype(np.int64).view(np.uint8).reshape(-1, 8).T]
+    return zstandard.ZstdCompressor(level=1).compress(np.vstack(planes).tobytes())
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(16, -1)
+    steps, n = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in (planes[:8], planes[8:]))
+    return np.cumsum(steps), n.view(np.int64)
+
+
+def _keys(shingle: np.ndarray) -> np.ndarray:
+    return shingle >> U64(64 - KEY_BITS)
+
+
+def _counts(docs: DataFrame) -> DataFrame:
+    """(range, packed): shingles and their counts by range of the hash, from every task."""
+    ranges = U64(RANGES * width(docs))
 
     def run(frames):
         import pandas as pd
 
+        def told():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            part = (keys * ranges) >> U64(KEY_BITS)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+            rows = [(int(part[a]), _pack(keys[a:b], n[a:b])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+            return pd.DataFrame(rows, columns=["range", "packed"])
+
+        held = []
         for frame in batches(frames, "text"):
-            _, shingle, _, _ = shingle_sets(frame["text"].tolist())
-            shingle, n = np.unique(shingle[shingle < COUNTED], return_counts=True)
-            yield pd.DataFrame({"shingle": shingle.view(np.int64), "n": n.astype(np.int32)})
+            held.append(_keys(shingle_sets(frame["text"].tolist())[1]))
+            if sum(map(len, held)) > HELD:
+                yield told()
+                held = []
+        if held:
+            yield told()
 
-    counts = docs.select("text").mapInPandas(run, "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return counts.where("n > 1")
+    return docs.select("text").mapInPandas(run, "range int, packed binary")
 
 
 def _slots(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two slots of each shingle, from different bits of its hash."""
-    mask = U64((1 << SLOTS_LOG2) - 1)
-    return (shingle & mask).astype(np.int64), ((shingle >> U64(SLOTS_LOG2)) & mask).astype(np.int64)
+    """The two slots of each shingle, from different bits of its scrambled key."""
+    return _slots_of(_keys(shingle))
+
+
+def _slots_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask, mixed = U64((1 << SLOTS_LOG2) - 1), mix(keys + U64(1))
+    return (mixed & mask).astype(np.int64), ((mixed >> U64(SLOTS_LOG2)) & mask).astype(np.int64)
 
 
-def _levels(shared: DataFrame) -> np.ndarray:
+def _levels(docs: DataFrame) -> np.ndarray:
     """How common the commonest shingle of each slot is, 0 for slots without a shared one.
 
     A shingle's level is the lesser of its two slots': it is shared by texts only if both are set.
@@ -113,10 +152,27 @@ def _levels(shared: DataFrame) -> np.ndarray:
         import zstandard
 
         table = np.zeros(1 << SLOTS_LOG2, np.uint8)
-        for frame in frames:
-            level = np.minimum(np.log2(frame["n"].to_numpy(float)) * 4, 250).astype(np.uint8)
-            for slot in _slots(frame["shingle"].to_numpy(np.int64).view(np.uint64)):
+
+        def add(packed):
+            keys, n = (np.concatenate(x) for x in zip(*map(_unpack, packed)))
+            by = np.argsort(keys)
+            keys, n = keys[by], n[by]
+            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, n = keys[new], np.add.reduceat(n, new)
+            level = np.minimum(np.log2(n[n > 1]) * 4, 250).astype(np.uint8)
+            for slot in _slots_of(keys[n > 1]):
                 np.maximum.at(table, slot, level)
+
+        now, held = None, []
+        for frame in frames:
+            for part, packed in zip(frame["range"].tolist(), frame["packed"]):
+                if part != now and held:
+                    add(held)
+                    held = []
+                now = part
+                held.append(packed)
+        if held:
+            add(held)
         packer, rows = zstandard.ZstdCompressor(level=1), []
         for k in range(0, len(table), BLOCK):
             if table[k : k + BLOCK].any():
@@ -139,7 +195,8 @@ def _levels(shared: DataFrame) -> np.ndarray:
     import zstandard
 
     shape = "block int, levels binary"
-    blocks = shared.mapInPandas(fill, shape).repartition(width(shared), "block").mapInPandas(merge, shape)
+    dealt = _counts(docs).repartition(width(docs), "range").sortWithinPartitions("range")
+    blocks = dealt.mapInPandas(fill, shape).repartition(width(docs), "block").mapInPandas(merge, shape)
     out = np.zeros(1 << SLOTS_LOG2, np.uint8)
     for r in blocks.collect():  # a row a block of the table
         found = zstandard.ZstdDecompressor().decompress(r.levels)
@@ -148,10 +205,14 @@ def _levels(shared: DataFrame) -> np.ndarray:
 
 
 def _classes_of(shingle: np.ndarray, levels) -> np.ndarray:
-    """The first key of the global order: rare shingles first, those not counted last."""
+    """The first key of the global order: rare shingles first."""
     one, other = _slots(shingle)
-    level = np.minimum(levels.value[one], levels.value[other])
-    return np.where(shingle < COUNTED, level, np.uint8(255))
+    return np.minimum(levels.value[one], levels.value[other])
+
+
+def _n_first(size):
+    """How many first shingles of a set of this size, one of which any similar set has among its own."""
+    return size - (4 * size + 4) // 5 + 1
 
 
 def _prefixes(docs: DataFrame, levels) -> DataFrame:
@@ -176,7 +237,7 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
             by = np.lexsort((shingle, rank, text))
             text, shingle, rank = text[by], shingle[by], rank[by]
             start = np.searchsorted(text, np.arange(len(size)))
-            first = np.arange(len(text)) - start[text] <= size[text] - (4 * size[text] + 4) // 5
+            first = np.arange(len(text)) - start[text] < _n_first(size[text])
             first &= rank > 0
             text = text[first]
             yield pd.DataFrame({"shingle": shingle[first].view(np.int64), "set": name[text], "n": size[text].astype(np.int32)})
@@ -205,7 +266,7 @@ def _bits(names: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, bits, levels) -> DataFrame:
-    """(set, shingles in global order) of the sets whose bit is set; a set once a task."""
+    """(set, n, shingles in global order) of the sets whose bit is set; a set once a task."""
 
     def run(frames):
         import pandas as pd
@@ -225,12 +286,12 @@ def _sets(docs: DataFrame, bits, levels) -> DataFrame:
                 s = int(name[k])
                 if s not in seen:
                     seen.add(s)
-                    rows.append((s, shingle[at[k] : at[k + 1]].tobytes()))
+                    rows.append((s, int(size[k]), shingle[at[k] : at[k + 1]].tobytes()))
             if len(seen) > 500_000:
                 seen.clear()
-            yield pd.DataFrame(rows, columns=["set", "shingles"])
+            yield pd.DataFrame(rows, columns=["set", "n", "shingles"])
 
-    return docs.select("text").mapInPandas(run, "set long, shingles binary")
+    return docs.select("text").mapInPandas(run, "set long, n int, shingles binary")
 
 
 class _Node:
@@ -259,11 +320,15 @@ class Trie:
             k = up[k]
         return k
 
-    def add(self, shingles: tuple[int, ...]) -> int:
-        """Link a set with those of other components it is similar to, and store it."""
-        me, n = len(self.sizes), len(shingles)
+    def known(self, n: int, like: int | None = None) -> int:
+        """A number for a set of ``n`` shingles, in the component of ``like``; it is not stored."""
         self.sizes.append(n)
-        self._up.append(me)
+        self._up.append(len(self._up) if like is None else self.top(like))
+        return len(self.sizes) - 1
+
+    def link(self, me: int, shingles: tuple[int, ...]) -> list[int]:
+        """The stored sets of other components that this one is similar to, one a component, which are linked with it."""
+        n, out = len(shingles), []
         mine = frozenset(shingles)
         ways = [(c, 0) for c in self._root.next.values()]
         while ways:
@@ -277,13 +342,20 @@ class Trie:
             if 5 * node.most < 4 * n + 9 * (node.deep - shared):
                 continue
             for k in node.ends:
-                if 9 * shared >= 4 * (n + self.sizes[k]):
+                if 9 * shared >= 4 * (n + self.sizes[k]) and self.top(k) != self.top(me):
                     self._up[self.top(k)] = self.top(me)
+                    out.append(k)
             ways += [(c, shared) for c in node.next.values()]
-        self._store(me, shingles)
+        return out
+
+    def add(self, shingles: tuple[int, ...]) -> int:
+        """Link a set with those of other components it is similar to, and store it."""
+        me = self.known(len(shingles))
+        self.link(me, shingles)
+        self.store(me, shingles)
         return me
 
-    def _store(self, me: int, shingles: tuple[int, ...]) -> None:
+    def store(self, me: int, shingles: tuple[int, ...]) -> None:
         node, at, n = self._root, 0, len(shingles)
         while at < n:
             child = node.next.get(shingles[at])
@@ -336,36 +408,119 @@ def _linked(blocks: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("root", "block", F.length("shingles"), "set").mapInPandas(run, "a long, b long")
 
 
+def _crossed(hosts: DataFrame, visits: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): visitors and a set of each other component of the block they visit that they are similar to.
+
+    ``visits`` (root, block, set, mine) are dealt over so many copies of a block that each meets
+    about as many as it holds.
+    """
+
+    def run(frames):
+        import pandas as pd
+
+        key, trie, names, tops, out = None, Trie(), [], {}, []
+        for frame in frames:
+            columns = ("root", "block", "copy", "guest", "set", "mine", "shingles")
+            for *place, guest, s, mine, raw in zip(*(frame[c] for c in columns)):
+                if place != key:
+                    key, trie, names, tops = place, Trie(), [], {}
+                shingles = tuple(np.frombuffer(raw, np.uint64).tolist())
+                me = trie.known(len(shingles), tops.get(mine))
+                tops.setdefault(mine, me)
+                names.append(s)
+                if guest:
+                    out += [(s, names[k]) for k in trie.link(me, shingles)]
+                else:
+                    trie.store(me, shingles)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+    shape = ["root", "block", "copy", "guest", "set", "mine", "shingles"]
+    loads = visits.groupBy("root", "block").agg(F.ceil(F.count("*") / MOST_SETS).alias("copies"))
+    guests = visits.join(loads, ["root", "block"]).join(sets.select("set", "shingles"), "set")
+    guests = guests.withColumns({"copy": F.pmod(F.xxhash64("set"), "copies"), "guest": F.lit(True)})
+    hosts = hosts.join(loads, ["root", "block"]).join(sets.select("set", "shingles"), "set")
+    hosts = hosts.withColumns({"copy": F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)), "guest": F.lit(False)})
+    dealt = hosts.select(*shape).union(guests.select(*shape)).repartition(width(sets), "root", "block", "copy")
+    dealt = dealt.sortWithinPartitions("root", "block", "copy", "guest", F.length("shingles"), "set")
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def _firsts(sets: DataFrame, levels) -> DataFrame:
+    """(set, shingle): the first shingles of stored sets, but for those that no other text has."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [np.frombuffer(raw, np.uint64)[: _n_first(len(raw) // 8)] for raw in frame["shingles"]]
+            if rows:
+                shingle, owner = np.concatenate(rows), np.repeat(frame["set"].to_numpy(np.int64), [len(r) for r in rows])
+                shared = _classes_of(shingle, levels) > 0
+                yield pd.DataFrame({"set": owner[shared], "shingle": shingle[shared].view(np.int64)})
+
+    return sets.select("set", "shingles").mapInPandas(run, "set long, shingle long")
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """(set, root, n, block): blocks hold about ``MOST_SETS`` sets, in the order of their sizes."""
+    sizes = sets.groupBy("root", "n").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    at = F.col("before") + F.pmod(F.xxhash64("set"), "m")
+    return sets.select("set", "root", "n").join(sizes, ["root", "n"]).select("set", "root", "n", F.floor(at / MOST_SETS).alias("block"))
+
+
 def _roots(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """The sets with the root of their component so far."""
     found = components(edges).select(F.col("node").alias("set"), F.col("root").alias("mine"))
     return sets.join(found, "set", "left").withColumn("mine", F.coalesce("mine", "set"))
 
 
+def _visits(now: DataFrame, firsts: DataFrame, go: DataFrame) -> DataFrame:
+    """(root, block, set, mine): the blocks of its group that each set of ``go`` visits.
+
+    ``now`` has ``large``, true in the component whose sets don't visit each other or anyone;
+    of two other sets, the one in the later block visits.
+    """
+    met = firsts.join(now, "set").groupBy("shingle", "root", "block", "large").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    own = firsts.join(go, "set").select("shingle", "root", "set", "mine", "n", F.col("block").alias("home"))
+    fits = "block <> home AND (large OR block < home) AND 5 * most >= 4 * n AND 4 * least <= 5 * n"
+    return own.join(met, ["shingle", "root"]).where(fits).select("root", "block", "set", "mine").distinct()
+
+
 def _classes(docs: DataFrame, levels) -> DataFrame:
     """(node, root) of the sets that are linked with another one."""
     spark = docs.sparkSession
     groups = keep(_candidates(_prefixes(docs, levels)), "groups")
     bits = spark.sparkContext.broadcast(_bits(groups))
-    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / MOST_SETS).alias("k"))
-    place = groups.join(blocks, "root").select(
-        F.col("node").alias("set"), "root", "k", F.pmod(F.xxhash64("node"), "k").alias("block")
-    )
+    place = groups.select(F.col("node").alias("set"), "root")
     sets = keep(_sets(docs, bits, levels).join(place, "set"), "sets")
-    edges = keep(_linked(sets), "links")
-    large = sets.where("k > 1")
-    if large.limit(1).count():
-        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda b: b != F.col("block")))
-        for full in (False, True):
-            now = _roots(large.drop("shingles").distinct(), edges)
-            if full:  # every set outside the largest component of its group
-                sizes = now.groupBy("root", "mine").agg(F.count("*").alias("n"))
-                largest = sizes.groupBy("root").agg(F.max_by("mine", F.struct("n", "mine")).alias("largest"))
-                go = now.join(largest, "root").where("mine <> largest")
-            else:
-                go = now.groupBy("root", "mine").agg(F.min("set").alias("set"))
-            visitors = large.join(go.select("set"), "set", "left_semi").withColumn("block", other)
-            edges = edges.union(keep(_linked(large.unionByName(visitors)), "links"))
+    crowded = keep(groups.groupBy("root").count().where(F.col("count") > MOST_SETS).select("root"), "crowded")
+    if not crowded.limit(1).count():
+        return components(keep(_linked(sets.withColumn("block", F.lit(0))), "links"))
+    few = sets.join(crowded, "root", "left_anti").withColumn("block", F.lit(0).cast("long"))
+    many = keep(sets.join(crowded, "root", "left_semi").dropDuplicates(["set"]), "many")
+    placed = keep(_placed(many), "placed")
+    within = many.join(placed.select("set", "block"), "set")
+    edges = keep(_linked(few.unionByName(within)), "links")
+    firsts = keep(_firsts(many, levels), "firsts")
+    for every in (False, True):
+        now = keep(_roots(placed, edges), "roots")
+        if every:  # every set outside the largest component of its group
+            sizes = now.groupBy("root", "mine").agg(F.count("*").alias("n"))
+            largest = sizes.groupBy("root").agg(F.max_by("mine", F.struct("n", "mine")).alias("largest"))
+            now = keep(now.join(largest, "root").withColumn("large", F.col("mine") == F.col("largest")), "outside")
+            go = now.where("NOT large")
+        else:  # one set of the largest component of each block, if that has several
+            sizes = now.groupBy("root", "block", "mine").agg(F.count("*").alias("m"), F.min("set").alias("set")).where("m > 1")
+            chosen = sizes.groupBy("root", "block").agg(F.max_by("set", F.struct("m", "set")).alias("set"))
+            now = now.withColumn("large", F.lit(True))
+            go = now.join(chosen.select("set"), "set", "left_semi")
+        visits = keep(_visits(now, firsts, go), "visits")
+        edges = edges.union(keep(_crossed(now.select("root", "block", "set", "mine"), visits, many), "links"))
     return components(edges)
 
 
@@ -376,7 +531,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _named_rows(docs: DataFrame) -> DataFrame:
     """The same for a numbered table. Numbers may differ between two numberings, so who joins on them gives its own."""
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(_shared(docs)))
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs))
     rows = keep(_measured(docs), "shingles")
     classes = _classes(docs, levels).select(F.col("node").alias("set"), "root")
     least = [F.min("_row").alias("_row"), F.min("doc_id").alias("doc_id")]

@@ -97,3 +97,39 @@ def test_one_of_each_numbers_once(spark):
     docs = docs.selectExpr("CASE WHEN id % 9973 = 0 THEN NULL WHEN id % 9001 = 1 THEN 5 ELSE id END AS doc_id", f"{text} AS text")
     kept = ngram_join.one_of_each(docs.repartition(40))
     assert kept.count() == kept.select("text").distinct().count() == docs.select("text").distinct().count()
+
+
+@pytest.fixture(scope="module")
+def unlinked(spark):
+    """One large group of candidates: texts of like size around one passage, few of which are linked."""
+    rng = random.Random(8)
+    passage = " ".join("p%d" % k for k in range(130))
+    texts = [" ".join("u%d" % rng.randrange(10**9) for _ in range(rng.randrange(25, 30))) + " " + passage for _ in range(120)]
+    texts += [t + " end" for t in texts[::10]] + [passage + " " + t for t in texts[:3]]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+
+def test_candidates_without_links(unlinked, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_SETS", 10)
+    held = []
+    crossed = ngram_join._crossed
+
+    def seen(hosts, visits, sets):
+        held.append((sets.count(), visits.count()))
+        return crossed(hosts, visits, sets)
+
+    monkeypatch.setattr(ngram_join, "_crossed", seen)
+    check(unlinked)
+    (n, first), (_, then) = held
+    assert n >= 100 and first <= n and then <= n * (n // 10 + 1) / 2 * 1.2  # each pair of blocks meets once
+
+
+def test_passages_alone_make_no_candidates(spark):
+    """Half of each text is a passage that all share; rare-first order keeps them apart, wherever hashes fall."""
+    rng = random.Random(9)
+    passage = " ".join("p%d" % k for k in range(60))
+    texts = [" ".join("u%d" % rng.randrange(10**9) for _ in range(60)) + " " + passage for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    levels = spark.sparkContext.broadcast(ngram_join._levels(docs))
+    assert ngram_join._candidates(ngram_join._prefixes(docs, levels)).count() == 0
+    check(docs)
