@@ -51,8 +51,10 @@ _STOP = frozenset(
     "der die das und den von zu mit sich ist des im dem nicht ein eine als auch es an werden aus er hat dass sie nach "
     "el los las y del se con no una su para al lo como más pero sus o este sí porque esta entre cuando muy".split()
 )
+#: Attributes of a tag up to an end in '/'; the slash of an unquoted value is part of the value.
+_CLOSED = r"(?:\s*+[^\s=>/\"']++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"']++))?+|\s++|/(?!>))*+/>"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/]){_CLOSED}|<({_SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>",
     re.I | re.S,
 )

@@ -80,3 +80,9 @@ def test_pages(spark):
     text = f"A & B\n{odd.PROSE}more of it.\nShort."
     assert texts[1, "u"] == (text, len(text)) and texts[2, None] == ("", 0) == texts[None, "v"]
     assert texts[4, "w"][0] == (odd.PROSE * 3).strip() and got.count() == 5
+
+
+def test_elements_that_close_themselves():
+    prose = (odd.PROSE * 3).strip()
+    for icon in ("<svg class='icon'/>", '<math/>', '<svg viewBox="0 0 > 1" />', "<svg><path d='x'/>no text</svg>", "<svg a=b/>no</svg>"):
+        assert html.extract(f"<p>{icon}{prose}<p>{prose}") == f"{prose}\n{prose}"
