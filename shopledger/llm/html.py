@@ -2,6 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what is clear: parts
 marked as menus, notices and the like are boilerplate, as are blocks that are mostly links;
+a form or a part that is only marked in part of its name gives way to an article inside, and
+a form that is wrapped around most of the page is no mark at all;
 in the article's own element, blocks of some length are content; elsewhere length and the
 density of stop words decide. The second pass gives each short, undecided block the label
 of its nearest decided neighbours in the same part of the page.
@@ -32,7 +34,7 @@ _HOLDS = frozenset(
     "ol section table td ul".split()
 )
 #: Elements and words in class, id or role that mark parts beside the article.
-_ASIDE = frozenset("nav footer aside form menu dialog button head".split())
+_ASIDE = frozenset("nav footer aside menu dialog button head".split())
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr"
     r"|notices?|alert|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|comments?|replies"
@@ -41,8 +43,20 @@ _MARKED = re.compile(
     r"|contentinfo|banner|hidden|tags?)(?=$|[\s_-])",
     re.I,
 )
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Names that tell how a part is laid out or what state it is in, not what it holds.
+_LAYOUT = re.compile(
+    r"(?:has|no|with|without|show|hide|hidden|overflow)[_-].*"
+    r"|(?:content|main|layout)(?:[_-]\w+)*[_-](?:wrap|wrapper|container|layout)"
+    r"|.*[_-](?:open|opened|closed|active|enabled|disabled|visible|collapsed|expanded|layout)",
+    re.I,
+)
+#: Parts whose entries are often articles of their own.
+_LISTS = re.compile(r"(?:^|[_-])(?:comments?|replies|disqus|respond|related|recommended|sponsor(?:ed)?|promo(?:tion)?|ads?)(?=$|[_-])", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+#: What puts a part beside the article, by what undoes it: a form and a mark in a part of a
+#: name are undone by an article inside, a mark that is a whole name by main, others by nothing.
+_FORM, _PARTLY, _WHOLLY, _SURE = 1, 2, 4, 8
 #: The commonest words of four languages.
 _STOP = frozenset(
     "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had "
@@ -66,26 +80,45 @@ MOST_LINKS = 0.5
 
 
 class _Block:
-    __slots__ = ("text", "links", "article", "aside", "heading", "part")
+    __slots__ = ("text", "links", "article", "aside", "heading", "part", "form")
 
-    def __init__(self, text, links, article, aside, heading, part):
+    def __init__(self, text, links, article, aside, heading, part, form):
         self.text, self.links, self.article = text, links, article
-        self.aside, self.heading, self.part = aside, heading, part
+        self.aside, self.heading, self.part, self.form = aside, heading, part, form
+
+
+def _marks(name: str, raw: str, article: bool) -> int:
+    """What puts an element beside the article."""
+    # an article's own header holds its title; a page's header is beside it
+    out = _SURE if name in _ASIDE or (name == "header" and not article) else _FORM if name == "form" else 0
+    if not raw or raw.isspace():
+        return out
+    told: dict[str, str] = {}
+    for key, *values in _ATTRIBUTE.findall(raw):
+        told.setdefault(key.lower(), "".join(values))
+    if "hidden" in told or told.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(told.get("style", "")):
+        return out | _SURE
+    if name not in ("article", "main", "body", "html"):
+        for token in " ".join(told.get(k, "") for k in ("class", "id", "role")).split():
+            found = _MARKED.search(token)
+            if found and not _LAYOUT.fullmatch(token):
+                out |= _WHOLLY if len(found[0]) == len(token) or _LISTS.search(token) else _PARTLY
+    return out
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks with text, in order."""
     out: list[_Block] = []
-    held: list[tuple[str, bool, bool, int]] = []  # element, beside the article, in the article, part
+    held: list[tuple[str, int, bool, int, int]] = []  # element, marks, in the article, part, outermost form
     words: list[str] = []
-    linked, in_link, own_mark, heading, part, at = 0, False, False, False, 0, 0
+    linked, in_link, own_mark, heading, part, forms, at = 0, False, False, False, 0, 0, 0
 
     def flush():
         nonlocal linked, own_mark, heading
         text = " ".join("".join(words).split())
         if text:
-            _, aside, article, where = held[-1] if held else ("", False, False, 0)
-            out.append(_Block(text, linked, article, aside or own_mark, heading, where))
+            _, marks, article, where, form = held[-1] if held else ("", 0, False, 0, 0)
+            out.append(_Block(text, linked, article, own_mark or marks > _FORM, heading, where, form if marks == _FORM else 0))
         words.clear()
         linked, own_mark, heading = 0, False, False
 
@@ -116,24 +149,43 @@ def blocks(page: str) -> list[_Block]:
                     while held.pop()[0] != name:
                         pass
                 continue
-            _, aside, article, where = held[-1] if held else ("", False, False, 0)
-            told = " ".join(a or b or c for a, b, c in _MARKS.findall(m[4]))
-            # an article's own header holds its title; a page's header is beside it
-            marked = name in _ASIDE or (name == "header" and not article)
-            marked = marked or bool(_HIDDEN.search(m[4]))
-            marked = marked or (name not in ("article", "main", "body", "html") and bool(_MARKED.search(told)))
+            _, around, article, where, form = held[-1] if held else ("", 0, False, 0, 0)
+            own = _marks(name, m[4], article)
             if name in _HOLDS or name == "button":
-                inner = article or name in ("article", "main")
-                if aside != (aside or marked) or inner != article:
+                inner, marks = article or name in ("article", "main"), around
+                if name == "main":
+                    marks &= _SURE
+                elif name == "article" and not any(h[0] == "article" for h in held):
+                    marks &= _SURE | _WHOLLY
+                marks |= own
+                if marks & _FORM and not around & _FORM:
+                    forms += 1
+                    form = forms
+                if (marks != 0) != (around != 0) or inner != article:
                     part += 1
                     where = part
-                held.append((name, aside or marked, inner, where))
+                held.append((name, marks, inner, where, form))
             else:
-                own_mark = marked
+                own_mark = own > 0
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
     read(page[at:])
     flush()
-    return out
+    return _without_forms(out)
+
+
+def _without_forms(found: list[_Block]) -> list[_Block]:
+    """A form is beside the article, unless it is wrapped around the page: it has a long text and most of what isn't beside."""
+    total = sum(len(b.text) for b in found if not b.aside)
+    within: dict[int, list[_Block]] = {}
+    for b in found:
+        if b.form and not b.aside:
+            within.setdefault(b.form, []).append(b)
+    for own in within.values():
+        wraps = 2 * sum(len(b.text) for b in own) > total
+        if not wraps or not any(len(b.text) >= LONG and b.links <= MOST_LINKS * len(b.text) for b in own):
+            for b in own:
+                b.aside = True
+    return found
 
 
 def _first(b: _Block) -> bool | None:

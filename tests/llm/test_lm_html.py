@@ -86,3 +86,26 @@ def test_elements_that_close_themselves():
     prose = (odd.PROSE * 3).strip()
     for icon in ("<svg class='icon'/>", '<math/>', '<svg viewBox="0 0 > 1" />', "<svg><path d='x'/>no text</svg>", "<svg a=b/>no</svg>"):
         assert html.extract(f"<p>{icon}{prose}<p>{prose}") == f"{prose}\n{prose}"
+
+
+def test_wrappers_leave_the_article():
+    prose = (odd.PROSE * 3).strip()
+    for name in ("has-sidebar", "no-sidebar", "content-sidebar-wrap", "search-open", "wide search-results"):
+        assert html.extract(f"<div class='{name}'><article><p>{prose}</article></div>") == prose
+    for name in ("has-sidebar", "no-sidebar", "content-sidebar-wrap", "search-open"):
+        assert html.extract(f"<div class='{name}'><p>{prose}</div>") == prose
+    for page in ("<form>%s</form>", "<form><div>%s</div><nav>Menu</nav></form>", "<form><main>%s</main></form>", "<form><article>%s</article></form>"):
+        assert html.extract(page % f"<p>{prose}</p>") == prose
+    assert html.extract(f"<section aria-label='A hidden history' data-a='x aria-hidden=true'><p>{prose}</section>") == prose
+
+
+def test_parts_beside_stay_out():
+    prose = (odd.PROSE * 3).strip()
+    for tag in (
+        "div class='site sidebar'", "div id=comments", "div class='related-posts'", "div hidden", "div aria-hidden=true",
+        "div style='display: none'", "aside", "nav",
+    ):
+        name = tag.split()[0]
+        assert html.extract(f"<p>{prose}</p><{tag}><article><p>{odd.OTHER * 3}</article></{name}>") == prose
+    assert html.extract(f"<p>{prose}</p><div class='cookie-notice'><p>{odd.OTHER * 3}</div>") == prose
+    assert html.extract(f"<p>{prose}</p><form><p>Sign up for our letter</form>") == prose
