@@ -5,7 +5,9 @@ marked as menus, notices and the like are boilerplate, as are blocks that are mo
 a form or a part that is only marked in part of its name gives way to an article inside, and
 a form that is wrapped around most of the page is no mark at all;
 in the article's own element, blocks of some length are content; elsewhere length and the
-density of stop words decide. The second pass gives each short, undecided block the label
+density of stop words decide. The stop words are English, French, German and Spanish ones. If
+no block of the page is dense in them, and for a block in another script, the language counts
+as unknown: then length and links decide alone. The second pass gives each short, undecided block the label
 of its nearest decided neighbours in the same part of the page.
 
 Defined cases: a null or empty page has no text; markup that is never closed ends with the
@@ -57,7 +59,7 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 #: What puts a part beside the article, by what undoes it: a form and a mark in a part of a
 #: name are undone by an article inside, a mark that is a whole name by main, others by nothing.
 _FORM, _PARTLY, _WHOLLY, _SURE = 1, 2, 4, 8
-#: The commonest words of four languages.
+#: The commonest words of English, French, German and Spanish.
 _STOP = frozenset(
     "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had "
     "they you were their one all we can has there been if more when will would who so no "
@@ -77,6 +79,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG = 70, 200
 DENSE, SPARSE = 0.30, 0.15
 MOST_LINKS = 0.5
+#: Of a block in an unknown language that is content, the most that may be links.
+FEW_LINKS = 0.2
 
 
 class _Block:
@@ -188,28 +192,48 @@ def _without_forms(found: list[_Block]) -> list[_Block]:
     return found
 
 
-def _first(b: _Block) -> bool | None:
-    """True for content, False for boilerplate, None if the block alone doesn't tell."""
-    if b.aside:
-        return False
-    n = len(b.text)
-    if b.links > MOST_LINKS * n:
-        return False
-    if b.article:
-        return True if n >= SHORT else None
-    if n < SHORT:
+def _density(text: str) -> float | None:
+    """The share of stop words, None for a text in another script than theirs."""
+    found = _WORD.findall(text.lower())
+    letters = "".join(found)
+    if 2 * sum(c > "\u024f" for c in letters) > len(letters):
         return None
-    found = _WORD.findall(b.text.lower())
-    dense = sum(w in _STOP for w in found) / max(1, len(found))
-    if dense >= DENSE or (dense >= SPARSE and n >= LONG):
-        return True
-    return None if dense >= SPARSE else False
+    return sum(w in _STOP for w in found) / max(1, len(found))
+
+
+def _labels(found: list[_Block]) -> list[bool | None]:
+    """True for content, False for boilerplate, None if a block alone doesn't tell."""
+    out: list[bool | None] = []
+    open_: dict[int, float | None] = {}
+    for k, b in enumerate(found):
+        n = len(b.text)
+        if b.aside or b.links > MOST_LINKS * n:
+            out.append(False)
+        elif b.article:
+            out.append(True if n >= SHORT else None)
+        else:
+            out.append(None)
+            if n >= SHORT:
+                open_[k] = _density(b.text)
+    known = any(d is not None and d >= SPARSE for d in open_.values())
+    for k, dense in open_.items():
+        n = len(found[k].text)
+        if dense is None or not known:
+            out[k] = True if found[k].links <= FEW_LINKS * n else None
+        elif dense >= DENSE or (dense >= SPARSE and n >= LONG):
+            out[k] = True
+        else:
+            out[k] = None if dense >= SPARSE else False
+    return out
 
 
 def extract(page: str | None) -> str:
-    """The article of a page: its blocks joined by line ends."""
+    """The article of a page: its blocks joined by line ends.
+
+    Stop words are known for English, French, German and Spanish; see above for other languages.
+    """
     found = blocks(page or "")
-    labels = [_first(b) for b in found]
+    labels = _labels(found)
     n = len(found)
     # the nearest decided neighbour on each side, within the same part
     before: list[tuple[int, bool] | None] = [None] * n

@@ -109,3 +109,17 @@ def test_parts_beside_stay_out():
         assert html.extract(f"<p>{prose}</p><{tag}><article><p>{odd.OTHER * 3}</article></{name}>") == prose
     assert html.extract(f"<p>{prose}</p><div class='cookie-notice'><p>{odd.OTHER * 3}</div>") == prose
     assert html.extract(f"<p>{prose}</p><form><p>Sign up for our letter</form>") == prose
+
+
+def test_languages_without_stop_words():
+    texts = (
+        "Старый каменный мост стоит над рекой уже четыреста лет, и каждую весну вода поднимается почти до самых его арок. " * 3,
+        "这座古老的石桥横跨河流已有四百年之久，每年春天河水都会上涨，几乎触及桥拱，附近的居民早已习惯了这样的景象。" * 5,
+        "Stary kamienny most stoi nad rzeką od czterystu lat, każdej wiosny woda podnosi się prawie pod same jego łuki. " * 3,
+    )
+    for text in texts:
+        page = f"<nav><a href='/'>x</a></nav><div><h1>T</h1><p>{text}</p><p>{text}</p></div><p>" + "<a href='/'>Link</a> " * 40
+        assert html.extract(page) == f"T\n{text.strip()}\n{text.strip()}"
+    assert html.extract(f"<p>{texts[0]}</p><div><p>{odd.PROSE * 3}</div>") == f"{texts[0]}\n{odd.PROSE * 3}".replace(" \n", "\n").strip()
+    names = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Omicron Sigma Upsilon"
+    assert html.extract(f"<p>{odd.PROSE * 3}</p><div class=x><p>{names}</div>") == (odd.PROSE * 3).strip()
