@@ -32,6 +32,10 @@ SAMPLE = 20_000
 LEAF = 48
 #: Rounding error of a distance between unit vectors.
 SLACK = 1e-6
+#: More than the rounding error of a cosine; scores that are so near are compared as they are returned.
+CLOSE = 1e-10
+#: Pairs of a query and a point that are looked at, and whose scores are worked out, at once.
+PAIRS, SCORED = 1_000_000, 50_000
 
 
 @dataclass
@@ -113,14 +117,36 @@ def reached(node: Node, u: np.ndarray, radius: np.ndarray, factor: float):
 
 
 class Search:
-    """The best ``most`` points of one shard for a block of queries."""
-
-    def __init__(self, u: np.ndarray, queries: np.ndarray, radius: np.ndarray, wanted: int, factor: float):
-        self.u, self.q, self.given, self.wanted, self.factor = u, queries, radius, wanted, factor
-        self.most = 2 * wanted
-        self.cos = np.full((len(queries), self.most), -np.inf)
-        self.at = np.full((len(queries), self.most), -1, np.int64)
-        self.visit(build(u, LEAF), np.arange(len(queries)))
+    """The best ``wanted`` points of one shard for a block of queries, by score and then by place in the shard."""
+
+    def __init__(self, v: np.ndarray, queries: np.ndarray, radius: np.ndarray, wanted: int, factor: float):
+        self.v, self.asked, self.u, self.q = v, queries, _unit(v), _unit(queries)
+        self.v_norm, self.q_norm = np.sqrt((v * v).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+        self.given, self.wanted, self.factor = radius, wanted, factor
+        self.cos = np.full((len(queries), wanted), -np.inf)
+        self.at = np.full((len(queries), wanted), -1, np.int64)
+        self.visit(build(self.u, LEAF), np.arange(len(queries)))
+
+    def score(self, rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The scores of pairs, the same whatever else is in the shard."""
+        out = np.empty(len(rows))
+        for k in range(0, len(rows), SCORED):
+            r, p = rows[k : k + SCORED], points[k : k + SCORED]
+            out[k : k + SCORED] = (self.asked[r] * self.v[p]).sum(axis=1) / (self.q_norm[r] * self.v_norm[p])
+        return out
+
+    def meet(self, members: np.ndarray, rows: np.ndarray) -> None:
+        cos = self.q[rows] @ self.u[members].T
+        both = np.hstack([self.cos[rows], cos])
+        last = -np.partition(-both, self.wanted - 1, axis=1)[:, self.wanted - 1]
+        row, col = np.nonzero(cos >= last[:, None] - CLOSE)
+        exact = np.full(cos.shape, -np.inf)
+        exact[row, col] = self.score(rows[row], members[col])
+        both = np.hstack([self.cos[rows], exact])
+        at = np.hstack([self.at[rows], np.where(np.isfinite(exact), members, -1)])
+        best = np.lexsort((at, -both), axis=1)[:, : self.wanted]
+        self.cos[rows] = np.take_along_axis(both, best, 1)
+        self.at[rows] = np.take_along_axis(at, best, 1)
 
     def radius(self, rows: np.ndarray) -> np.ndarray:
         last = self.cos[rows, self.wanted - 1]
@@ -131,11 +157,9 @@ class Search:
         if not len(rows):
             return
         if node.point is None:
-            cos = np.hstack([self.cos[rows], self.q[rows] @ self.u[node.members].T])
-            at = np.hstack([self.at[rows], np.broadcast_to(node.members, (len(rows), len(node.members)))])
-            best = np.argsort(-cos, axis=1, kind="stable")[:, : self.most]
-            self.cos[rows] = np.take_along_axis(cos, best, 1)
-            self.at[rows] = np.take_along_axis(at, best, 1)
+            step = max(1, PAIRS // len(node.members))
+            for k in range(0, len(rows), step):
+                self.meet(node.members, rows[k : k + step])
             return
         d = _far(self.q[rows], node.point)
         near = d <= node.middle
@@ -179,18 +203,16 @@ def _search(points: DataFrame, queries: DataFrame, wanted: int, factor: float, b
             return pd.DataFrame(columns=["cls", "cand", "ids", "score", "radius"])
         own = own.sort_values("cls", ignore_index=True)
         v, q = _matrix(own["v"]), _matrix(ask["v"])
-        found = Search(_unit(v), _unit(q), ask["radius"].to_numpy(float), wanted, factor)
+        found = Search(v, q, ask["radius"].to_numpy(float), wanted, factor)
         row, col = np.nonzero(found.at >= 0)
         hit = found.at[row, col]
-        score = (q[row] * v[hit]).sum(axis=1)
-        score /= np.sqrt((q * q).sum(axis=1))[row] * np.sqrt((v * v).sum(axis=1))[hit]
         reach = found.radius(np.arange(len(q)))
         return pd.DataFrame(
             {
                 "cls": ask["cls"].to_numpy()[row],
                 "cand": own["cls"].to_numpy()[hit],
                 "ids": own["ids"].iloc[hit].to_list(),
-                "score": score,
+                "score": found.cos[row, col],
                 "radius": reach[row],
             }
         )

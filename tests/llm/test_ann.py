@@ -68,3 +68,13 @@ def test_odd_rows(spark):
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
     assert ann.nearest(df.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
     assert ann.nearest(df.where("false"), F.col("id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("shard", [4096, 60])
+def test_ties_of_different_vectors(spark, shard):
+    """One-hot vectors of several lengths: all that are not along the query tie, and so do all that are."""
+    ids = np.random.default_rng(3).permutation(400).tolist()
+    rows = [(i, [float(2 ** (k // 40)) if j == k % 40 else 0.0 for j in range(40)]) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (5, 14):
+        assert found(ann.nearest(df, F.col("id") % 50 == 0, k=k, shard=shard)) == brute(rows, k)
