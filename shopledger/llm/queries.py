@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, lm, ngram_join, packing, pii, quality, suffix_dedup
+from . import ann, bpe, chat, hard_negatives, html, lm, ngram_join, packing, pii, quality, simhash, suffix_dedup, whitening
 
 
 #: Bounds count for so much more than they are: see the recall test.
@@ -77,11 +77,27 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    mixed = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", mixed)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_pii, op3_html, op4_ngram_join, op5_ann,
         op6_packing, op7_quality, op8_chat, op9_bpe, op10_lm,
+        op11_hard_negatives, op12_simhash, op13_whitening,
     )
 }
 
@@ -90,5 +106,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+#: All rows against all anchors, which is within reach on small tables.
+HARD_NEGATIVES = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+        CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM rows AS a JOIN rows AS b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM pairs WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+    n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives AS p JOIN pairs AS n ON n.anchor_id = p.anchor_id
+WHERE NOT n.alike AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": HARD_NEGATIVES}
