@@ -38,7 +38,8 @@ from .anchors import SPAN, anchors
 from .tables import keep, numbered, width
 from .textblock import TextBlock, U64, batches, mix
 
-BITS_LOG2 = 26
+#: Bits of the table of open samples, and of the blocks that tasks put together.
+BITS_LOG2, BLOCK_LOG2 = 26, 18
 #: Names of one key that one task compares.
 MOST_NAMES = 50_000
 _SAMPLES = "key long, name long, _row long, start int, places int, salt int"
@@ -107,18 +108,40 @@ def _settled(named: DataFrame) -> DataFrame:
 
 
 def _open_bits(opened: DataFrame) -> np.ndarray:
-    """A table of fixed size with a bit for each sample that must send its bytes."""
+    """A table of fixed size with a bit for each sample that must send its bytes.
 
-    def run(frames):
+    Tasks put together a block of it each; the driver gets the blocks packed.
+    """
+    block = min(BITS_LOG2, BLOCK_LOG2)
+
+    def place(frames):
+        import pandas as pd
+
+        for frame in frames:
+            bit = _bit(frame["_row"].to_numpy(np.int64), frame["start"].to_numpy(np.int64)).view(np.int64)
+            yield pd.DataFrame({"block": (bit >> block).astype(np.int32), "bit": (bit & ((1 << block) - 1)).astype(np.int32)})
+
+    def fill(frames):
+        import pandas as pd
+        import zstandard
+
+        found: dict[int, np.ndarray] = {}
         for frame in frames:
-            frame["bit"] = _bit(frame["_row"].to_numpy(np.int64), frame["start"].to_numpy(np.int64)).view(np.int64)
-            yield frame[["bit"]]
-
-    words = opened.select("_row", "start").mapInPandas(run, "bit long").groupBy(F.shiftright("bit", 6).alias("w"))
-    got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS_LOG2 - 6), np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+            blocks, bits = frame["block"].to_numpy(), frame["bit"].to_numpy()
+            for k in np.unique(blocks).tolist():
+                found.setdefault(k, np.zeros(1 << block, bool))[bits[blocks == k]] = True
+        packer = zstandard.ZstdCompressor(level=1)
+        rows = [(k, packer.compress(np.packbits(x, bitorder="little").tobytes())) for k, x in found.items()]
+        yield pd.DataFrame(rows, columns=["block", "bits"])
+
+    import zstandard
+
+    placed = opened.select("_row", "start").mapInPandas(place, "block int, bit int")
+    packed = placed.repartition(width(opened), "block").mapInPandas(fill, "block int, bits binary")
+    out, size = np.zeros(1 << (BITS_LOG2 - 6), np.uint64), 1 << (block - 6)
+    for r in packed.collect():  # a row a block, 2**(BITS_LOG2 - BLOCK_LOG2) of them
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.bits), "<u8")
+    return out
 
 
 def _sent(docs: DataFrame, bits) -> DataFrame:
