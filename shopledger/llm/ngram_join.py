@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import keep, numbered, width
+from .tables import keep, numbered, whole_rows, width
 from .textblock import Prefix, TextBlock, U64, batches, mix
 
 WORDS = 5
@@ -549,6 +549,7 @@ def similar(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
+@whole_rows
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The first row of every component, whole, in the columns the rows came with."""
     rows = numbered(docs)

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import whole_rows
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -169,6 +171,7 @@ def spans(docs: DataFrame) -> DataFrame:
     )
 
 
+@whole_rows
 def redact(docs: DataFrame) -> DataFrame:
     """Every span replaced by its kind in angle brackets; overlapping spans become one, under the first's kind."""
     df = _with_spans(docs)

@@ -7,8 +7,7 @@ rules on the whole text reject documents that are very short or mostly repeat th
 Defined cases: a null text has no words and is rejected; so is a text of white space;
 lines without a word are neither kept nor counted; repeated rows are judged alike; a
 table without rows gives none; columns of the input other than ``doc_id`` and ``text``
-are left alone by ``clean`` and ignored by ``measures``, unless they start with an
-underscore, which is the mark of columns made here.
+are left alone by ``clean``, whatever their names, and ignored by ``measures``.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import SPACE, WORD
+from .tables import SPACE, WORD, whole_rows
 
 #: Marks that end a sentence, and marks that part the entries of a menu.
 SENTENCE_END = r"[.!?…。！？।][\"'”’»)\]]*"
@@ -150,6 +149,7 @@ def measures(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
+@whole_rows
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The kept documents, without their failing lines, in the columns they came with.
 

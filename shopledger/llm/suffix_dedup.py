@@ -23,7 +23,7 @@ task holds a whole key.
 Defined cases: a null text is empty, and texts under 100 bytes keep every byte; rows that
 repeat a ``doc_id`` are ordered by a number given once; null ids come first; an empty table
 gives no rows; columns of the input are kept by ``deduplicate``, which also drops what is left
-of a character cut in two; ``_row``, ``_from`` and ``_to`` are names used here.
+of a character cut in two.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import SPAN, anchors
-from .tables import keep, numbered, width
+from .tables import keep, numbered, whole_rows, width
 from .textblock import TextBlock, U64, batches, mix
 
 #: Bits of the table of open samples, and of the blocks that tasks put together.
@@ -294,24 +294,26 @@ def _kept(raw: bytes, runs) -> bytes:
 def digests(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the digest of the bytes left."""
 
-    def run(frames):
-        import pandas as pd
+    def run(batches_):
+        import pyarrow as pa
 
-        for frame in frames:
+        for batch in batches_:
             rows = []
-            for doc, text, starts, ends in zip(frame["doc_id"], frame["text"], frame["_from"], frame["_to"]):
+            for text, starts, ends in zip(*(batch.column(n).to_pylist() for n in ("text", "_from", "_to"))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 runs = _runs(starts, ends)
                 gone = sum(b - a for a, b in runs)
-                rows.append((doc, len(raw), gone, len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append((len(raw), gone, len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
+            told = [pa.array(x) for x in zip(*rows)] or [pa.array([], t) for t in (*[pa.int64()] * 3, pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *told], names)
 
-    rows = _with_stretches(numbered(docs).select("_row", "doc_id", "text")).select("doc_id", "text", "_from", "_to")
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_stretches(numbered(docs).select("_row", "doc_id", "text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_from", "_to")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@whole_rows
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows without the bytes that occur earlier, in the columns they came with."""
 

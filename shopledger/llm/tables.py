@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,3 +52,22 @@ def smallest(df: DataFrame, keys: list[str], order: list[str], most: int) -> Dat
     """The first ``most`` rows of each key, cut in every map task before the shuffle."""
     by = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= most).drop("_rank")
+
+
+def whole_rows(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let a step on ``doc_id`` and ``text`` that keeps its rows' columns carry all others in one struct.
+
+    The step sees three columns, so a name that it uses itself can't clash with one of them.
+    """
+
+    @functools.wraps(step)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        own = [c for c in ("doc_id", "text") if c in docs.columns]
+        others = [c for c in docs.columns if c not in own]
+        if not others:
+            return step(docs, *args, **kwargs)
+        carried = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in others]).alias("carried")
+        out = step(docs.select(*own, carried), *args, **kwargs)
+        return out.select(*[F.col(c) if c in own else F.col("carried").getField(c).alias(c) for c in docs.columns])
+
+    return run

@@ -10,6 +10,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from shopledger.llm import bpe, quality
 
 from . import odd
@@ -36,6 +38,19 @@ def test_columns_stay(steps):
         assert df.columns == steps[0].columns
 
 
+def test_names_do_not_clash(spark):
+    """Columns named like those that the stages use come back as they went in, with ids beyond 2**53 beside nulls."""
+    names = ["_row", "_from", "_to", "_email", "_spans", "_n", "_words", "_kept", "_lines", "first", "carried", "a.b", "others"]
+    docs = odd.documents(spark).withColumn("doc_id", F.col("doc_id") + F.lit(1 << 60)).coalesce(1)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat_ws("-", F.lit(str(k)), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and got.count()
+        for r in got.select("doc_id", *(f"`{n}`" for n in names)).collect():
+            assert list(r[1:]) == [str(k) if r.doc_id is None else f"{k}-{r.doc_id}" for k in range(len(names))]
+
+
 def test_quality(steps):
     kept = Counter(r.doc_id for r in quality.measures(steps[0]).where("kept").collect())
     assert Counter(d for d, _ in pairs(steps[1])) == kept
