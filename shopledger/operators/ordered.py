@@ -47,7 +47,7 @@ def forward_fill(
         return df.withColumn(column, fill.over(window))
 
     keys = [*by, "_bucket"]
-    rows = df.withColumn("_bucket", _block(order, bucket_rows))
+    rows = df.withColumn("_bucket", in_block(order, bucket_rows))
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(*so_far)
     filled = rows.withColumn("_inside", F.last(column, ignorenulls=True).over(inside))
 
@@ -110,12 +110,13 @@ def join_per_group(
     row more than ``JOIN_ROWS`` times in one task. Groups missing from ``per_group``
     drop out.
     """
-    blocked = rows.withColumn("_block", _block(order, JOIN_ROWS))
-    blocks = blocked.select(by, "_block").distinct().withColumn("_area", _block("_block", JOIN_ROWS))
+    blocked = rows.withColumn("_block", in_block(order, JOIN_ROWS))
+    blocks = blocked.select(by, "_block").distinct().withColumn("_area", in_block("_block", JOIN_ROWS))
     areas = blocks.select(by, "_area").distinct().join(per_group, by)
     spread = blocks.join(areas, [by, "_area"]).drop("_area")
     return blocked.join(spread, [by, "_block"]).drop("_block")
 
 
-def _block(order: str, size: int) -> Column:
+def in_block(order: str, size: int) -> Column:
+    """The block of ``size`` consecutive numbers that a number is in."""
     return F.expr(f"`{order}` DIV {size}")
