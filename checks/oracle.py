@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from checks import extracts, views
 from checks import queries as q
-from checks import views
 from checks.tables import MONTHS
 
 PLAIN = {
@@ -114,6 +114,12 @@ CTES = {
     ),
 }
 
+CTES |= {
+    "loaded": extracts.LOADED.sql(),
+    "loaded_jobs": extracts.LOADED_JOBS.sql(),
+    "reported": views.View({**views.TIMECARDS.columns, **views.LINE_ORDER, "report": extracts.REPORT}).sql(),
+}
+
 DEPENDS = {
     "rich_pre": ["po_pre"],
     "rich_post": ["po_post"],
@@ -627,6 +633,39 @@ def _ladder() -> dict[str, str]:
     }
 
 
+def _loaders() -> dict[str, str]:
+    dates = f"BETWEEN DATE '{q.DATES[0]}' AND DATE '{q.DATES[1]}'"
+    counted = f"SELECT 'all' AS \"table\", count(*) AS \"rows\" FROM loaded WHERE report % 4 <> 2 AND completed_on {dates}"
+    return {
+        "load_timecards": _with("SELECT * FROM loaded WHERE report % 4 <> 2", "loaded"),
+        "load_timecards_rejects": _with(
+            "SELECT DISTINCT report, 'Quantity, OEE' AS missing, 'missing columns' AS reason "
+            "FROM loaded WHERE report % 4 = 2",
+            "loaded",
+        ),
+        "load_timecards_shift": _with(f"{counted} UNION ALL SELECT 'none', 0", "loaded"),
+        "load_strict_timecards": _with(
+            "SELECT report, wc, timesheet_no, employee, CAST(completed_on AS DATE) AS completed_on, quantity, hours "
+            "FROM reported WHERE report % 3 = 0",
+            "reported",
+        ),
+        "load_strict_jobs": _with("SELECT * FROM loaded_jobs WHERE report % 3 = 0", "loaded_jobs"),
+        "load_strict_rejects": _with(
+            "SELECT DISTINCT report, CASE WHEN report % 3 = 1 THEN 26 ELSE 27 END AS columns, "
+            "CASE WHEN report % 3 = 1 THEN 'Ends On' ELSE 'Production Facility' END AS first, "
+            "'different columns' AS reason FROM loaded_jobs WHERE report % 3 > 0",
+            "loaded_jobs",
+        ),
+        "load_downtime": _with(
+            "SELECT report, concat(wc, ' - ', wc_type) AS txt, "
+            "CASE WHEN line_1 % 3 = 0 THEN NULL ELSE prod_downtime_h END AS hours FROM reported",
+            "reported",
+        ),
+        "load_plan_sheets": _with("SELECT * FROM plan_ladder", "plan_ladder"),
+        "load_sales_sheet": _with("SELECT * FROM sales_ladder", "sales_ladder"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         **_production(),
@@ -635,4 +674,5 @@ def oracle_sql() -> dict[str, str]:
         **_platform(),
         **_purchasing(),
         **_ladder(),
+        **_loaders(),
     }

@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import views
+from checks import extracts, views
 from checks.tables import MONTHS, Tables
 from shopledger.operators import by_key, top_k
 from shopledger.plans import ladder, mrp, platform, production, purchasing, sales
-from shopledger.sources.downtime import flatten_downtime
+from shopledger.sources.contracts import SCHEDULED_JOBS, TIMECARDS
+from shopledger.sources.downtime import flatten_downtime, read_downtime
 from shopledger.sources.ladders import load_plan_ladder, load_sales_ladder
 from shopledger.sources.mrp import MrpTables, flatten_mrp
 from shopledger.sources.sinks import row_counts
+from shopledger.sources.tabular import load_report, load_strict
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -541,3 +543,69 @@ def ladder_items(t: Tables) -> DataFrame:
 @_query
 def ladder_dates(t: Tables) -> DataFrame:
     return ladder.ladder_dates(t.plan_ladder())
+
+
+# Loaders, from CSV folders
+
+
+TIMECARD_COLUMNS = ("wc_type", "wc", "timesheet_no", "job_no", "completed_on", "quantity", "scrap", "oee", "downtime_notes")
+
+
+def _as_days(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.to_date(column))
+
+
+@_query
+def load_timecards(t: Tables) -> DataFrame:
+    rows = load_report(extracts.timecards(t), TIMECARDS).rows
+    return _as_days(rows.select(extracts.report_no(), *TIMECARD_COLUMNS), "completed_on")
+
+
+@_query
+def load_timecards_rejects(t: Tables) -> DataFrame:
+    rejects = load_report(extracts.timecards(t), TIMECARDS).rejects
+    return rejects.select(extracts.report_no(), F.array_join("missing", ", ").alias("missing"), "reason")
+
+
+@_query
+def load_timecards_shift(t: Tables) -> DataFrame:
+    """Loaded rows without a chosen shift: an empty choice keeps all, or none."""
+    rows = load_report(extracts.timecards(t), TIMECARDS).rows
+    kept = {"all": production.filter_timecards(rows, DATES), "none": production.filter_timecards(rows, DATES, shifts=[])}
+    return row_counts(kept)
+
+
+@_query
+def load_strict_timecards(t: Tables) -> DataFrame:
+    rows = load_strict(extracts.strict(t, TIMECARDS), TIMECARDS).rows
+    return _as_days(
+        rows.select(extracts.report_no(), "wc", "timesheet_no", "employee", "completed_on", "quantity", "hours"), "completed_on"
+    )
+
+
+@_query
+def load_strict_jobs(t: Tables) -> DataFrame:
+    rows = load_strict(extracts.strict(t, SCHEDULED_JOBS), SCHEDULED_JOBS).rows
+    return _as_days(rows.select(extracts.report_no(), "wc", "job_no", "item", "due", "to_make", "can_make"), "due")
+
+
+@_query
+def load_strict_rejects(t: Tables) -> DataFrame:
+    rejects = load_strict(extracts.strict(t, SCHEDULED_JOBS), SCHEDULED_JOBS).rejects
+    return rejects.select(extracts.report_no(), F.size("found").alias("columns"), F.get("found", F.lit(0)).alias("first"), "reason")
+
+
+@_query
+def load_downtime(t: Tables) -> DataFrame:
+    return read_downtime(extracts.downtime(t)).select(extracts.report_no(), "txt", "hours")
+
+
+@_query
+def load_plan_sheets(t: Tables) -> DataFrame:
+    raw = extracts.ladder(t, "plan_ladder", t.plan_ladder_cells())
+    return load_plan_ladder(raw).select("item", "snapshot", "plan_date", "qty")
+
+
+@_query
+def load_sales_sheet(t: Tables) -> DataFrame:
+    return load_sales_ladder(extracts.ladder(t, "sales_ladder", t.sales_ladder_cells()))

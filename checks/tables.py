@@ -52,10 +52,7 @@ class Tables:
 
     def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A raw sheet, written on first use and read from there by every loader."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _LANDED:
-            _LANDED[key] = landed(build(), name)
-        return _LANDED[key]
+        return landed_once(self, name, lambda: landed(build(), name))
 
     def downtime_lines(self) -> DataFrame:
         """The indented downtime report: one file per shift, one heading per reason."""
@@ -207,6 +204,14 @@ class Tables:
         )
 
 
+def landed_once(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` writes on first use, for this application and folder."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _LANDED:
+        _LANDED[key] = build()
+    return _LANDED[key]
+
+
 def _cells(filled: dict):
     empty = F.lit(None).cast("string")
     return F.array(*[filled.get(i, empty) for i in range(12)]).alias("cells")
