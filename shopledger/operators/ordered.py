@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Consecutive rows filled in one go; a hot file of 1e12 rows leaves 1.5e7 summaries.
 BUCKET_ROWS = 1 << 16
 
+_SO_FAR = (Window.unboundedPreceding, Window.currentRow)
+
 # Consecutive rows that share one copy of their file's header in a join.
 JOIN_ROWS = 1 << 12
 
@@ -35,42 +37,58 @@ def forward_fill(
     """Replace nulls by the last non-null value before them in the same ``by`` group.
 
     A plain window puts a whole group in one task. Here a group is cut into buckets
-    of consecutive ``order`` numbers, which are unique in a group: rows are filled inside
-    their bucket, and what a bucket inherits is found by number, in a window over one
-    summary row per bucket, and fetched from the row of that number.
-    ``bucket_rows=None`` uses the plain window, for many small groups.
+    of consecutive ``order`` numbers, which are unique in a group, and rows are filled inside
+    their bucket. What a bucket inherits is carried along one row per bucket, and along one
+    row per ``bucket_rows`` buckets, so no window sees more rows than that in a group of
+    ``bucket_rows`` cubed. The rows are shuffled once; their last values are taken from the
+    same shuffle. ``bucket_rows=None`` uses the plain window, for many small groups.
     """
-    so_far = (Window.unboundedPreceding, Window.currentRow)
     if bucket_rows is None:
-        fill = F.last(column, ignorenulls=True)
-        window = Window.partitionBy(*by).orderBy(order).rowsBetween(*so_far)
-        return df.withColumn(column, fill.over(window))
+        window = Window.partitionBy(*by).orderBy(order).rowsBetween(*_SO_FAR)
+        return df.withColumn(column, F.last(column, ignorenulls=True).over(window))
 
     keys = [*by, "_bucket"]
-    rows = df.withColumn("_bucket", in_block(order, bucket_rows))
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(*so_far)
-    filled = rows.withColumn("_inside", F.last(column, ignorenulls=True).over(inside))
+    dealt = df.withColumn("_bucket", in_block(order, bucket_rows)).repartition(*keys)
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(*_SO_FAR)
+    filled = dealt.withColumn("_inside", F.last(column, ignorenulls=True).over(inside))
+    ends = _last_of_each(dealt, keys, df.columns, column, order)
+    inherited = _carried(ends, by, "_bucket", bucket_rows)
+    value = F.coalesce("_inside", "_value")
+    return filled.join(inherited, keys, "left").withColumn(column, value).select(*df.columns)
 
-    last_set = F.max(F.when(F.col(column).isNotNull(), F.col(order))).alias("_last")
-    before = (
-        Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inherited = (
-        rows.groupBy(*keys)
-        .agg(last_set)
-        .select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_last"))
-        .where("_last IS NOT NULL")
-    )
-    values = df.where(F.col(column).isNotNull()).select(
-        *by, F.col(order).alias("_last"), F.col(column).alias("_inherited")
-    )
-    inherited = inherited.join(values, [*by, "_last"]).drop("_last")
-    value = F.coalesce("_inside", "_inherited")
+
+def _last_of_each(
+    dealt: DataFrame, keys: Sequence[str], columns: Sequence[str], column: str, order: str
+) -> DataFrame:
+    """``keys`` and ``_value``, the last non-null value, of each bucket.
+
+    ``max_by`` takes whole rows, and the keys come back as values, so that neither columns
+    nor filters are pushed into this branch and both branches ask for the same shuffle.
+    """
+    last = F.max_by(F.struct(*columns), F.when(F.col(column).isNotNull(), F.col(order)))
+    named = [F.any_value(k).alias(f"_{i}") for i, k in enumerate(keys)]
     return (
-        filled.join(inherited, keys, "left").withColumn(column, value).select(*df.columns)
+        dealt.groupBy(*keys)
+        .agg(last.alias("_last"), *named)
+        .select(
+            *[F.col(f"_{i}").alias(k) for i, k in enumerate(keys)],
+            F.col("_last").getField(column).alias("_value"),
+        )
     )
 
 
+def _carried(ends: DataFrame, by: Sequence[str], order: str, size: int) -> DataFrame:
+    """``_value`` made the last one before each bucket: in its area, or else in earlier areas."""
+    keys = [*by, "_area"]
+    dealt = ends.withColumn("_area", in_block(order, size))
+    near = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    far = Window.partitionBy(*by).orderBy("_area").rowsBetween(Window.unboundedPreceding, -1)
+    areas = dealt.groupBy(*keys).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_far"))
+    areas = areas.select(*keys, F.last("_far", ignorenulls=True).over(far).alias("_far"))
+    held = dealt.withColumn("_near", F.last("_value", ignorenulls=True).over(near))
+    return held.join(areas, keys).select(*by, order, F.coalesce("_near", "_far").alias("_value"))
+
+
 def number_rows(
     df: DataFrame,
     *,

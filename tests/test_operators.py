@@ -55,6 +55,18 @@ def test_forward_fill_carries_over_many_empty_buckets(spark):
     assert got.where("v.x = 'a' AND v.y IS NULL").count() == 997
 
 
+def test_forward_fill_reads_its_input_once(spark, tmp_path):
+    """The rows are scanned and shuffled once, although they are filled and summed up."""
+    spark.range(5000).select(
+        F.lit("f").alias("file"), F.col("id").alias("row_no"), F.when(F.col("id") % 700 == 3, F.col("id")).alias("v"), "id"
+    ).write.parquet(str(tmp_path / "t"))
+    df = forward_fill(spark.read.parquet(str(tmp_path / "t")), "v", bucket_rows=64)
+    assert df.where("row_no >= 3 AND v = row_no - (row_no - 3) % 700").count() == 4997
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
 def test_number_rows_is_dense_and_ordered(spark):
     data = [(f, c, n) for f in "ab" for c in (2, 1, 5) for n in (9, 7, 8)]
     df = spark.createDataFrame(data, "file STRING, chunk INT, n INT")
