@@ -19,13 +19,16 @@ def code_part(c: Column) -> Column:
 
 def vendor_name(c: Column) -> Column:
     """Vendor between the words ``Vendor`` and ``P/O``, without commas and spaces around it."""
-    after = F.split_part(c, F.lit("Vendor"), F.lit(2))
-    name = strip_ws(F.btrim(F.split_part(after, F.lit("P/O"), F.lit(1)), F.lit(", ")))
+    name = strip_ws(F.btrim(F.substring_index(_after(c, "Vendor"), "P/O", 1), F.lit(", ")))
     return F.when(F.contains(c, F.lit("Vendor")), name).otherwise(F.lit(NO_VENDOR))
 
 
 def po_number(c: Column) -> Column:
     """Order number between ``P/O #`` and the next comma."""
-    after = F.split_part(c, F.lit("P/O #"), F.lit(2))
-    number = strip_ws(F.split_part(after, F.lit(","), F.lit(1)))
+    number = strip_ws(F.substring_index(_after(c, "P/O #"), ",", 1))
     return F.when(F.contains(c, F.lit("P/O #")), number).otherwise(F.lit(NO_PO))
+
+
+def _after(c: Column, mark: str) -> Column:
+    """What follows the first mark, up to a second one; bytes are compared, no pieces are made."""
+    return F.substring_index(F.substring_index(c, mark, 2), mark, -1)
