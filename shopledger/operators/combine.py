@@ -28,6 +28,14 @@ def side_by_side(
     only one table gets 0 for the others; rows with a null key are left out unless
     ``keep_null_keys`` is set.
     """
+    rows = tagged_union(tables, keys)
+    if not keep_null_keys:
+        rows = rows.where(_all_present(keys))
+    return rows.groupBy(*keys).agg(*[exact_sum(F.col(n)).alias(n) for n in tables])
+
+
+def tagged_union(tables: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str]) -> DataFrame:
+    """The rows of all tables, each with its value in the column of its table and nulls in the others."""
     names = list(tables)
     parts = [
         df.select(
@@ -36,10 +44,7 @@ def side_by_side(
         )
         for name, (df, value) in tables.items()
     ]
-    rows = reduce(DataFrame.unionByName, parts)
-    if not keep_null_keys:
-        rows = rows.where(_all_present(keys))
-    return rows.groupBy(*keys).agg(*[exact_sum(F.col(n)).alias(n) for n in names])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keys_only_in_first(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

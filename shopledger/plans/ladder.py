@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.operators import distinct_sorted
@@ -22,20 +22,15 @@ def ladder_table(long: DataFrame, dates: Sequence[dt.date]) -> DataFrame:
 
     A column needs to be known before the job starts, so the dates are given; use
     ``ladder_dates`` to list them. Items without a quantity on these dates drop out.
+    A cell is reduced to its first quantity before the shuffle, and then put into the slot of
+    its date, so a row costs the same whatever the number of dates.
     """
-    rows = long.dropna(subset=["item", "snapshot", "qty"]).where(F.col("plan_date").isin(sorted(dates)))
-    wide = rows.groupBy("item", "snapshot").agg(
-        *[_first_on(day).alias(day.isoformat()) for day in sorted(dates)]
-    )
+    days = sorted(dates)
+    rows = long.dropna(subset=["item", "snapshot", "qty"]).where(F.col("plan_date").isin(days))
+    wide = rows.groupBy("item", "snapshot").pivot("plan_date", days).agg(F.min_by("qty", "row_no"))
     return wide.withColumn("release_date", F.lit(""))
 
 
-def _first_on(day: dt.date) -> Column:
-    """The first quantity of a group on this date; rows of other dates have no rank and do not count."""
-    there = F.col("plan_date") == F.lit(day)
-    return F.min_by("qty", F.when(there, F.col("row_no")))
-
-
 def ladder_dates(long: DataFrame) -> DataFrame:
     """The dates of a ladder, sorted."""
     return distinct_sorted(long.where(F.col("qty").isNotNull()), "plan_date")

@@ -86,24 +86,18 @@ def per_timesheet(tc: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
 def kpis(tc: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
     """Mean efficiency and OEE over all rows; quantity and idle hours per timesheet.
 
-    Both kinds come from one pass: timesheets are reduced first, each with its sums
-    and its first row, and then added up.
+    The two kinds read different columns. Timesheets are cut to their first row in each map
+    task before the shuffle, and everything is added up at once.
     """
-    first = F.min_by(F.struct("quantity", "nonprod_downtime_h"), F.struct(*order))
-    sheets = tc.groupBy("timesheet_no").agg(
-        exact_sum(F.col("efficiency")).alias("efficiency"),
-        F.count("efficiency").alias("efficiency_n"),
-        exact_sum(F.col("oee")).alias("oee"),
-        F.count("oee").alias("oee_n"),
-        first.alias("first"),
+    sheets = per_timesheet(tc.select("timesheet_no", "quantity", "nonprod_downtime_h", *order), order)
+    rows = tc.select("efficiency", "oee").unionByName(
+        sheets.select("quantity", "nonprod_downtime_h"), allowMissingColumns=True
     )
-    return sheets.agg(
-        F.try_divide(exact_sum(F.col("efficiency")), F.sum("efficiency_n").cast("double")).alias(
-            "mean_efficiency"
-        ),
-        F.try_divide(exact_sum(F.col("oee")), F.sum("oee_n").cast("double")).alias("mean_oee"),
-        exact_sum(F.col("first.quantity")).alias("quantity"),
-        exact_sum(F.col("first.nonprod_downtime_h")).alias("nonprod_downtime_h"),
+    return rows.agg(
+        exact_mean(F.col("efficiency")).alias("mean_efficiency"),
+        exact_mean(F.col("oee")).alias("mean_oee"),
+        exact_sum(F.col("quantity")).alias("quantity"),
+        exact_sum(F.col("nonprod_downtime_h")).alias("nonprod_downtime_h"),
     )
 
 

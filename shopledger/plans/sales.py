@@ -14,11 +14,11 @@ from shopledger.operators import (
     distinct_sorted,
     fill_months,
     in_list,
-    observed,
     side_by_side,
     sorted_by,
     top_k,
 )
+from shopledger.operators.combine import tagged_union
 
 MEASURES = ["forecast", "sold"]
 
@@ -57,13 +57,23 @@ def totals(forecast: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def grid(forecast: DataFrame, sales: DataFrame, grain: str) -> DataFrame:
-    """Forecast, sold and difference for every observed period and customer."""
-    planned = _with_period(forecast, "ship_on", grain)
-    sold = _with_period(sales, "invoice_date", grain)
-    facts = _compared(planned, sold, ["period", "customer"], keep_null_keys=True)
-    spine = observed(planned.select("period").unionByName(sold.select("period")), "period")
-    known = facts.where(F.col("customer").isNotNull())
-    filled = dense_fill(known, ["customer"], "period", MEASURES, spine)
+    """Forecast, sold and difference for every observed period and customer.
+
+    The periods are read from the shuffle that the grid itself is made of. For that, both must
+    ask for the same columns and filter nothing before it: whether a customer is named is told
+    by the aggregate, and the condition on the periods, which always holds, names the rest.
+    """
+    tables = {
+        "forecast": (_with_period(forecast, "ship_on", grain), "amount"),
+        "sold": (_with_period(sales, "invoice_date", grain), "amount"),
+    }
+    facts = tagged_union(tables, ["period", "customer"]).groupBy("period", "customer").agg(
+        *[exact_sum(F.col(m)).alias(m) for m in MEASURES],
+        F.bool_or(F.col("customer").isNotNull()).alias("named"),
+    )
+    asked = F.count_if(F.isnan("forecast") | F.isnan("sold") | F.col("named")) >= 0
+    spine = facts.agg(F.when(asked, F.array_sort(F.collect_set("period")))).scalar()
+    filled = dense_fill(facts.where("named"), ["customer"], "period", MEASURES, spine)
     return filled.withColumn("difference", F.col("sold") - F.col("forecast"))
 
 

@@ -79,3 +79,29 @@ def test_shares_reuse_the_grouped_shuffle(spark):
     df.collect()
     final = plan(df)
     assert "ReusedExchange" in final or "ReusedQueryStage" in final or final.count("Reused") > 0
+
+
+def final(df) -> str:
+    """The plan as it ran, without the part it began with."""
+    df.collect()
+    return plan(df).split("Initial Plan")[0]
+
+
+def test_a_grid_reads_its_periods_from_its_own_shuffle(spark):
+    periods = final(QUERIES["sales_grid"](spark, SMALL))  # up to the end of the plan of the periods
+    assert "ReusedExchange [period" in periods and "FileScan" not in periods
+
+
+def test_kpis_sort_only_what_the_first_rows_need(plans):
+    assert "SortAggregate" not in plans["prod_kpis"] and plans["prod_kpis"].count("WindowGroupLimit") == 2
+
+
+def test_ladder_dates_are_slots(plans):
+    assert "pivotfirst" in plans["ladder_table"].lower()
+    assert "SortAggregate" not in plans["ladder_table"]
+
+
+@pytest.mark.parametrize("name", ["prod_downtime_flatten", "mrp_po_lines"])
+def test_sheets_are_read_once(spark, name):
+    text = final(QUERIES[name](spark, SMALL))
+    assert text.count("FileScan") == 1 and "ReusedExchange" in text
