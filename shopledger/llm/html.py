@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass decides what is clear: parts
 marked as menus, notices and the like are boilerplate, as are blocks that are mostly links;
 a form or a part that is only marked in part of its name gives way to an article inside, and
-a form that is wrapped around most of the page is no mark at all;
+a form that is wrapped around most of the page is no mark at all; a mark in part of a name
+also yields to a long text, dense in stop words, with few links;
 in the article's own element, blocks of some length are content; elsewhere length and the
 density of stop words decide. The stop words are English, French, German and Spanish ones. If
 no block of the page is dense in them, and for a block in another script, the language counts
@@ -12,16 +13,19 @@ of its nearest decided neighbours in the same part of the page.
 
 Defined cases: a null or empty page has no text; markup that is never closed ends with the
 page; repeated rows are read alike; an empty table gives no rows; columns other than those
-named are ignored. Pages are read whole, one at a time.
+named are ignored. Pages are read whole, one at a time, in time that grows with their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
+from .tables import as_text, exact_ids
+
 #: Elements whose content is never text of a page.
 _SILENT = "script|style|noscript|template|svg|math|iframe|object|select|textarea|title|canvas|audio|video"
 #: Elements that start and end a block.
@@ -52,6 +56,11 @@ _LAYOUT = re.compile(
     r"|.*[_-](?:open|opened|closed|active|enabled|disabled|visible|collapsed|expanded|layout)",
     re.I,
 )
+#: Words beside a mark that tell its place or shape, so that the whole name is still a mark.
+_NEUTRAL = frozenset(
+    "area bar bars block body bottom box button buttons container content form group header heading icons inner item items "
+    "left link links list outer panel placeholder primary right row secondary section site slot text title top unit wrap wrapper".split()
+)
 #: Parts whose entries are often articles of their own.
 _LISTS = re.compile(r"(?:^|[_-])(?:comments?|replies|disqus|respond|related|recommended|sponsor(?:ed)?|promo(?:tion)?|ads?)(?=$|[_-])", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -67,28 +76,36 @@ _STOP = frozenset(
     "der die das und den von zu mit sich ist des im dem nicht ein eine als auch es an werden aus er hat dass sie nach "
     "el los las y del se con no una su para al lo como más pero sus o este sí porque esta entre cuando muy".split()
 )
-#: Attributes of a tag up to an end in '/'; the slash of an unquoted value is part of the value.
-_CLOSED = r"(?:\s*+[^\s=>/\"']++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"']++))?+|\s++|/(?!>))*+/>"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/]){_CLOSED}|<({_SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>",
-    re.I | re.S,
-)
+#: Attributes of a tag that closes itself; the slash of an unquoted value is part of the value.
+_CLOSED = re.compile(r"(?:\s*+[^\s=>/\"']++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+|\s++|/(?!\Z))*+/")
+_QUIET = re.compile(rf"(?:{_SILENT})\b", re.I)
+_LETTER = re.compile("[A-Za-z]")
+_NAME_END, _HALT = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG = 70, 200
 DENSE, SPARSE = 0.30, 0.15
+#: What a long text must have if part of a name speaks against it.
+MARKED = 0.22
 MOST_LINKS = 0.5
 #: Of a block in an unknown language that is content, the most that may be links.
 FEW_LINKS = 0.2
 
 
 class _Block:
-    __slots__ = ("text", "links", "article", "aside", "heading", "part", "form")
+    __slots__ = ("text", "links", "article", "aside", "weak", "heading", "part", "form")
 
-    def __init__(self, text, links, article, aside, heading, part, form):
+    def __init__(self, text, links, article, marks, heading, part, form):
         self.text, self.links, self.article = text, links, article
-        self.aside, self.heading, self.part, self.form = aside, heading, part, form
+        self.heading, self.part, self.form = heading, part, form
+        self.aside, self.weak = marks > _FORM, marks | _FORM == _FORM | _PARTLY  # weak: by part of a name only
+
+
+def _is_mark(token: str) -> bool:
+    """Whether a name holds nothing but marks and words that go with them."""
+    if _MARKED.fullmatch(token):
+        return True
+    return all(w.lower() in _NEUTRAL or w.isdigit() or _MARKED.fullmatch(w) for w in re.split("[_-]+", token) if w)
 
 
 def _marks(name: str, raw: str, article: bool) -> int:
@@ -106,25 +123,99 @@ def _marks(name: str, raw: str, article: bool) -> int:
         for token in " ".join(told.get(k, "") for k in ("class", "id", "role")).split():
             found = _MARKED.search(token)
             if found and not _LAYOUT.fullmatch(token):
-                out |= _WHOLLY if len(found[0]) == len(token) or _LISTS.search(token) else _PARTLY
+                out |= _WHOLLY if _is_mark(token) or _LISTS.search(token) else _PARTLY
     return out
 
 
+class _Scan:
+    """The tags of a page in one pass: what was found not to follow a place is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.cut_off: set[int] = set()  # places outside quotes from which no tag ends
+        self.name_end = -1
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        seen = []
+        while at <= self.last and at not in self.cut_off:
+            seen.append(at)
+            halt = _HALT.search(self.page, at)
+            if halt is None:
+                break
+            if halt[0] == ">":
+                return halt.start()
+            close = self.page.find(halt[0], halt.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.cut_off.update(seen)
+        return -1
+
+    def name(self, at: int) -> str:
+        if self.name_end < at:
+            found = _NAME_END.search(self.page, at)
+            self.name_end = found.start() if found else len(self.page)
+        return self.page[at : self.name_end]
+
+    def __iter__(self):
+        """(start, end, whether an end tag, name, attributes); the name is None for other markup."""
+        page, at = self.page, 0
+        closed: dict[str, int] = {}  # where the end tags of a silent element begin to lack
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+                yield start, at, False, None, ""
+                continue
+            ends = page.startswith("/", at)
+            first = at + ends
+            if not _LETTER.match(page, first):
+                end = page.find(">", at) if page[at : at + 1] in ("!", "?", "/") and at <= self.last else -1
+                if end >= 0:
+                    at = end + 1
+                    yield start, at, False, None, ""
+                continue
+            if start > self.last:
+                continue
+            name = self.name(first)
+            end = self.tag_end(first + len(name))
+            if end < 0:
+                continue
+            raw, at = page[first + len(name) : end], end + 1
+            quiet = None if ends else _QUIET.match(name)
+            if quiet is None:
+                yield start, at, ends, name, raw
+                continue
+            kind = quiet[0].lower()
+            if not (name.lower() in ("svg", "math") and raw.endswith("/") and _CLOSED.fullmatch(raw)):
+                close = None
+                if closed.get(kind, len(page)) > at:
+                    close = re.compile(rf"</{kind}\s*>", re.I).search(page, at)
+                    if close is None:
+                        closed[kind] = at
+                at = close.end() if close else len(page)
+            yield start, at, False, None, ""
+
+
 def blocks(page: str) -> list[_Block]:
     """The page's blocks with text, in order."""
     out: list[_Block] = []
     held: list[tuple[str, int, bool, int, int]] = []  # element, marks, in the article, part, outermost form
+    opened: Counter[str] = Counter()  # elements in held
     words: list[str] = []
-    linked, in_link, own_mark, heading, part, forms, at = 0, False, False, False, 0, 0, 0
+    linked, in_link, own_mark, heading, part, forms, at = 0, False, 0, False, 0, 0, 0
 
     def flush():
         nonlocal linked, own_mark, heading
         text = " ".join("".join(words).split())
         if text:
             _, marks, article, where, form = held[-1] if held else ("", 0, False, 0, 0)
-            out.append(_Block(text, linked, article, own_mark or marks > _FORM, heading, where, form if marks == _FORM else 0))
+            own = own_mark if own_mark != _FORM else _SURE
+            out.append(_Block(text, linked, article, own | marks, heading, where, form if own | marks == _FORM else 0))
         words.clear()
-        linked, own_mark, heading = 0, False, False
+        linked, own_mark, heading = 0, 0, False
 
     def read(raw):
         nonlocal linked
@@ -134,13 +225,12 @@ def blocks(page: str) -> list[_Block]:
             if in_link:
                 linked += len(" ".join(text.split()))
 
-    for m in _TOKEN.finditer(page):
-        read(page[at : m.start()])
-        at = m.end()
-        name = m[3]
+    for start, end, ends, name, raw in _Scan(page):
+        read(page[at:start])
+        at = end
         if name is None:
             continue
-        name, ends = name.lower(), bool(m[2])
+        name = name.lower()
         if name == "a":
             in_link = not ends
         elif name == "br":
@@ -149,17 +239,19 @@ def blocks(page: str) -> list[_Block]:
             flush()
             in_link = False
             if ends:
-                if any(h[0] == name for h in held):
-                    while held.pop()[0] != name:
-                        pass
+                while opened[name]:
+                    last = held.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
+                        break
                 continue
             _, around, article, where, form = held[-1] if held else ("", 0, False, 0, 0)
-            own = _marks(name, m[4], article)
+            own = _marks(name, raw, article)
             if name in _HOLDS or name == "button":
                 inner, marks = article or name in ("article", "main"), around
                 if name == "main":
                     marks &= _SURE
-                elif name == "article" and not any(h[0] == "article" for h in held):
+                elif name == "article" and not opened["article"]:
                     marks &= _SURE | _WHOLLY
                 marks |= own
                 if marks & _FORM and not around & _FORM:
@@ -169,8 +261,9 @@ def blocks(page: str) -> list[_Block]:
                     part += 1
                     where = part
                 held.append((name, marks, inner, where, form))
+                opened[name] += 1
             else:
-                own_mark = own > 0
+                own_mark = own
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
     read(page[at:])
     flush()
@@ -207,8 +300,11 @@ def _labels(found: list[_Block]) -> list[bool | None]:
     open_: dict[int, float | None] = {}
     for k, b in enumerate(found):
         n = len(b.text)
-        if b.aside or b.links > MOST_LINKS * n:
+        if b.links > MOST_LINKS * n or (b.aside and not (b.weak and n >= LONG and b.links <= FEW_LINKS * n)):
             out.append(False)
+        elif b.aside:  # a mark in part of a name yields to a long, dense text with few links
+            out.append(False)
+            open_[k] = _density(b.text)
         elif b.article:
             out.append(True if n >= SHORT else None)
         else:
@@ -220,10 +316,14 @@ def _labels(found: list[_Block]) -> list[bool | None]:
         n = len(found[k].text)
         if dense is None or not known:
             out[k] = True if found[k].links <= FEW_LINKS * n else None
-        elif dense >= DENSE or (dense >= SPARSE and n >= LONG):
+        elif dense >= DENSE or (n >= LONG and dense >= (MARKED if found[k].aside else SPARSE)):
             out[k] = True
         else:
-            out[k] = None if dense >= SPARSE else False
+            out[k] = None if dense >= SPARSE and not found[k].aside else False
+    parts = {b.part for b, good in zip(found, out) if good and b.weak and b.aside}
+    for k, b in enumerate(found):
+        if b.weak and b.aside and not out[k] and b.part in parts and len(b.text) < LONG and b.links <= FEW_LINKS * len(b.text):
+            out[k] = None
     return out
 
 
@@ -269,7 +369,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(p) for p in frame["html"]]
             yield pd.DataFrame(
                 {
-                    "page_id": frame["page_id"].astype("Int64"),
+                    "page_id": exact_ids(frame["page_id"]),
                     "url": frame["url"],
                     "text": texts,
                     "n_chars": [len(t) for t in texts],
@@ -277,4 +377,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             )
 
     shape = "page_id long, url string, text string, n_chars long"
-    return pages.select("page_id", "url", "html").mapInPandas(run, shape)
+    return as_text(pages.select("page_id", "url", "html"), "page_id").mapInPandas(run, shape)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -123,3 +124,39 @@ def test_languages_without_stop_words():
     assert html.extract(f"<p>{texts[0]}</p><div><p>{odd.PROSE * 3}</div>") == f"{texts[0]}\n{odd.PROSE * 3}".replace(" \n", "\n").strip()
     names = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Omicron Sigma Upsilon"
     assert html.extract(f"<p>{odd.PROSE * 3}</p><div class=x><p>{names}</div>") == (odd.PROSE * 3).strip()
+
+
+def test_marks_in_part_of_a_name_yield_to_prose():
+    prose = (odd.PROSE * 4).strip()
+    for page in (
+        "<div class='post tags-news'><p>%s</div>",
+        "<div id='widget-area-main'><p>%s</div>",
+        "<main><div class='search-results'><p>%s</div></main>",
+        "<article><section class='social-policy'><h2>On it</h2><p>%s</section></article>",
+    ):
+        assert html.extract(page % prose).split("\n")[-1] == prose
+    for name in ("cookie-notice", "newsletter-box", "sidebar-left", "footer-widget-2", "related-articles", "comment-list"):
+        assert html.extract(f"<p>{prose}</p><div class='{name}'><p>{(odd.OTHER * 4)}</div>") == prose
+
+
+def test_pages_take_time_in_proportion():
+    """A megabyte of tags that never end, in any form, and of elements that stay open."""
+    for unit in ("<a ", '<a b="', "<svg a=b ", "<svg a='/ ", "<a", "</", "<script ", "<p a='\"", "<div></ul>", "<!--", "<svg / "):
+        for end in ("", ">"):
+            page = unit * (1_000_000 // len(unit)) + end
+            start = time.process_time()
+            html.extract(page)
+            assert time.process_time() - start < 6, (unit, end)
+
+
+def test_long_ids_beside_nulls(spark):
+    rows = [((1 << 60) + k, None, "<p>x") for k in range(5)] + [(None, None, None)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert sorted(r.page_id for r in got.collect() if r.page_id is not None) == [r[0] for r in rows[:-1]]
+
+
+def test_silent_and_self_closed_elements():
+    prose = (odd.PROSE * 3).strip()
+    assert html.extract(f"<svg a='>'/><p>{prose}<svg a=b/><p>no</svg><p>{prose}") == f"{prose}\n{prose}"
+    assert html.extract(f"<p>{prose}<SCRIPT>if (a<b) x='</p>'</Script ><p>{prose}<title>{prose}") == f"{prose}\n{prose}"
+    assert html.extract(f"<p>{prose} 1 < 2 <") == f"{prose} 1 < 2 <"
