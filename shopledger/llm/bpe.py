@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .tables import as_text, exact_ids
 from .textblock import TextBlock, U64, _SPACE, batches
 
 ROLL = 48
@@ -232,9 +233,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         use = encoder(path)
         for frame in batches(frames, "text"):
             ids = use.texts(frame["text"].tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [i.astype(np.int64) for i in ids]})
+            yield pd.DataFrame({"doc_id": exact_ids(frame["doc_id"]), "ids": [i.astype(np.int64) for i in ids]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<long>")
+    return as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, "doc_id long, ids array<long>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -246,9 +247,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         use = encoder(path)
         for frame in frames:
             texts = [use.decode(np.asarray(i, np.int64)) if i is not None else "" for i in frame["ids"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts})
+            yield pd.DataFrame({"doc_id": exact_ids(frame["doc_id"]), "text": texts})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return as_text(encoded.select("doc_id", "ids"), "doc_id").mapInPandas(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -263,7 +264,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             ids = use.texts(frame["text"].tolist())
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"],
+                    "doc_id": exact_ids(frame["doc_id"]),
                     "n_tokens": [len(i) for i in ids],
                     "ids_sha256": [sha(use.numbers(i)) for i in ids],
                     "decoded_sha256": [sha(use.decode(i)) for i in ids],
@@ -271,4 +272,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             )
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInPandas(run, shape)
+    return as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, shape)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .tables import keep, parts_for
+from .tables import as_text, exact_ids, keep, parts_for
 from .textblock import TextBlock, U64, batches, mix
 
 END, START = U64(0x656E64), U64(0x7374617274)
@@ -49,7 +49,8 @@ _GATHER = 4_000_000
 
 
 def is_held_out(doc_ids) -> np.ndarray:
-    return np.array([zlib.crc32(("" if d is None or d != d else str(int(d))).encode()) % 5 == 1 for d in doc_ids], bool)
+    """Which ids, as longs or as texts, stand for held-out rows."""
+    return np.array([zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1 for d in doc_ids], bool)
 
 
 @dataclass(frozen=True)
@@ -378,7 +379,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             base = np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"].astype("Int64"),
+                    "doc_id": exact_ids(frame["doc_id"]),
                     "held_out": is_held_out(frame["doc_id"].tolist()),
                     "n_tokens": n,
                     "n_known": np.add.reduceat((counts > 0).astype(np.int64), first),
@@ -392,7 +393,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
         " base_score double, score double"
     )
-    return docs.select("doc_id", "text").mapInPandas(run, shape)
+    return as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, shape)
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:

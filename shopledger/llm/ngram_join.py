@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import keep, numbered, whole_rows, width
+from .tables import as_text, exact_ids, keep, numbered, whole_rows, width
 from .textblock import Prefix, TextBlock, U64, batches, mix
 
 WORDS = 5
@@ -79,10 +79,11 @@ def _measured(docs: DataFrame) -> DataFrame:
 
         for frame in batches(frames, "text"):
             _, _, size, name = shingle_sets(frame["text"].tolist())
-            doc = frame["doc_id"].astype("Int64")
+            doc = exact_ids(frame["doc_id"])
             yield pd.DataFrame({"_row": frame["_row"], "doc_id": doc, "n": size, "set": name})
 
-    return docs.select("_row", "doc_id", "text").mapInPandas(run, "_row long, doc_id long, n long, set long")
+    rows = as_text(docs.select("_row", "doc_id", "text"), "doc_id")
+    return rows.mapInPandas(run, "_row long, doc_id long, n long, set long")
 
 
 def _pack(keys: np.ndarray, n: np.ndarray) -> bytes:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe import encoder
-from .tables import keep, parts_for
+from .tables import as_text, exact_ids, keep, parts_for
 from .textblock import batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -94,10 +94,10 @@ def cut(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1) -> DataFr
                     b = min(a + most, total)
                     rows.append((doc, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), total))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out["doc_id"] = exact_ids(out["doc_id"])
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, PIECES)
 
 
 def pack(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, shard: int = 40_000) -> DataFrame:
@@ -116,13 +116,14 @@ def pack(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, shard: i
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
+        rows["doc_id"] = exact_ids(rows["doc_id"])
         rows = rows.sort_values(
             ["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True]
         )
         windows, offsets = best_fit(rows["length"].tolist(), most)
         rows["sequence_id"] = np.array(windows, np.int64) + (TaskContext.get().partitionId() << 32)
         rows["offset"] = np.array(offsets, np.int64)
-        rows["doc_id"] = rows["doc_id"].astype("Int64")
         yield rows
 
-    return pieces.repartition(parts_for(pieces.count(), shard)).mapInPandas(run, PACKED)
+    dealt = as_text(pieces, "doc_id").repartition(parts_for(pieces.count(), shard))
+    return dealt.mapInPandas(run, PACKED)

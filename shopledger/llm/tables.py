@@ -20,6 +20,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return landed(df, name)
 
 
+def as_text(df: DataFrame, column: str) -> DataFrame:
+    """The ids as texts, for pandas, which makes doubles of longs that stand beside nulls."""
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
+def exact_ids(texts):
+    """The longs of a pandas column that ``as_text`` made, nulls included."""
+    import pandas as pd
+
+    return pd.array([None if t is None else int(t) for t in texts], "Int64")
+
+
 def parts_for(rows: int, each: int) -> int:
     """Partitions, so that none gets more than about ``each`` rows; grows with the input."""
     return max(1, math.ceil(rows / each))
