@@ -643,6 +643,13 @@ def _loaders() -> dict[str, str]:
             "FROM loaded WHERE report % 4 = 2",
             "loaded",
         ),
+        "load_timecards_lost": _with(
+            "SELECT report, 'scrap' AS \"column\", count(*) AS \"values\" FROM reported "
+            "WHERE report % 4 <> 2 AND line_1 % 4 = 1 GROUP BY report UNION ALL "
+            "SELECT report, 'completed_on', count(*) FROM reported "
+            "WHERE report % 4 <> 2 AND line_2 % 9 <> 0 AND line_2 % 11 = 0 GROUP BY report",
+            "reported",
+        ),
         "load_timecards_shift": _with(f"{counted} UNION ALL SELECT 'none', 0", "loaded"),
         "load_strict_timecards": _with(
             "SELECT report, wc, timesheet_no, employee, CAST(completed_on AS DATE) AS completed_on, quantity, hours "

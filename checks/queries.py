@@ -17,7 +17,7 @@ from shopledger.sources.downtime import flatten_downtime, read_downtime
 from shopledger.sources.ladders import load_plan_ladder, load_sales_ladder
 from shopledger.sources.mrp import MrpTables, flatten_mrp
 from shopledger.sources.sinks import row_counts
-from shopledger.sources.tabular import load_report, load_strict
+from shopledger.sources.tabular import load_report, load_strict, lost_values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -567,6 +567,12 @@ def load_timecards_rejects(t: Tables) -> DataFrame:
     return rejects.select(extracts.report_no(), F.array_join("missing", ", ").alias("missing"), "reason")
 
 
+@_query
+def load_timecards_lost(t: Tables) -> DataFrame:
+    rows = load_report(extracts.timecards(t), TIMECARDS, lost=True).rows
+    return lost_values(rows).select(extracts.report_no(), "column", "values")
+
+
 @_query
 def load_timecards_shift(t: Tables) -> DataFrame:
     """Loaded rows without a chosen shift: an empty choice keeps all, or none."""
