@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, hard_negatives, html, lm, ngram_join, packing, pii, quality, simhash, suffix_dedup, whitening
+from . import (
+    ann, bpe, chat, hard_negatives, html, lm, ngram_join, packing, pii, quality, simhash, suffix_dedup, twins, whitening,
+)
 
 
 #: Bounds count for so much more than they are: see the recall test.
@@ -134,4 +136,10 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.sc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_hard_negatives": HARD_NEGATIVES}
+    return {
+        "op1_suffix_dedup": twins.SUFFIX_DEDUP,
+        "op4_ngram_join": twins.NGRAM_JOIN,
+        "op7_quality": twins.quality(quality.BOILERPLATE, quality.SENTENCE_END, quality.MENU_MARKS),
+        "op8_chat": twins.CHAT,
+        "op11_hard_negatives": HARD_NEGATIVES,
+    }
