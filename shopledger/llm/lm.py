@@ -19,13 +19,10 @@ table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 import zlib
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,6 +43,8 @@ _ONCE = np.dtype([("gram", "<u8")])
 _KINDS = {"contexts": _CONTEXT, "grams": _COUNT, "once": _ONCE, "words": _WORD}
 #: A task adds up so many entries before it hands them on.
 _GATHER = 4_000_000
+#: A worker keeps so many files mapped; from a store without maps, so many in memory, of some 30 MB at most.
+_MAPS, _FETCHED = 4096, 8
 
 
 def is_held_out(doc_ids) -> np.ndarray:
@@ -118,11 +117,16 @@ def _add_up(entries: np.ndarray) -> np.ndarray:
     return out
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of sorted keys start."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+
+
 def _packed(entries: np.ndarray) -> bytes:
     """Sorted entries in few bytes: contexts once a run, words as places in a sorted list."""
     import zstandard
 
-    at = np.flatnonzero(np.r_[True, entries["context"][1:] != entries["context"][:-1]])
+    at = _starts(entries["context"])
     words, place = np.unique(entries["word"], return_inverse=True)
     parts = (
         np.array([len(entries), len(at), len(words)], "<u8"), entries["context"][at],
@@ -172,21 +176,30 @@ def _store(folder: str, name: str, array: np.ndarray) -> None:
     system.move(own, f"{path}/{name}")
 
 
-@cache
+def _opened(folder: str, kind: str, part: int) -> np.ndarray:
+    """The rows of a model file; one that isn't there raises, since every part writes all of its files."""
+    return (_mapped if folder.startswith("file:") else _fetched)(folder, kind, part)
+
+
+@lru_cache(_MAPS)
 def _mapped(folder: str, kind: str, part: int) -> np.ndarray:
-    """The file as an array mapped into memory; from a store without maps, by way of a nameless local file."""
+    """The file mapped into memory; the map stays when the file is closed, so no descriptor is held."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    path = fs.FileSystem.from_uri(folder)[1]
+    with pa.memory_map(f"{path}/{kind}-{part}") as file:
+        return np.frombuffer(file.read_buffer(), _KINDS[kind]) if file.size() else np.zeros(0, _KINDS[kind])
+
+
+@lru_cache(_FETCHED)
+def _fetched(folder: str, kind: str, part: int) -> np.ndarray:
+    """The file read into memory, from a store that has no maps."""
     from pyarrow import fs
 
-    dtype = _KINDS[kind]
     system, path = fs.FileSystem.from_uri(folder)
-    file = f"{path}/{kind}-{part}"
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(file, dtype, "r") if os.path.getsize(file) else np.zeros(0, dtype)
-    with tempfile.TemporaryFile() as local:
-        with system.open_input_stream(file) as source:
-            shutil.copyfileobj(source, local)
-        local.flush()
-        return np.memmap(local, dtype, "r") if local.tell() else np.zeros(0, dtype)
+    with system.open_input_stream(f"{path}/{kind}-{part}") as source:
+        return np.frombuffer(source.read(), _KINDS[kind])
 
 
 def _uri(spark) -> str:
@@ -203,9 +216,9 @@ def _seen(counts: np.ndarray) -> list[int]:
 
 def _store_high(part: int, pieces: list[bytes], folder: str, parts: int):
     """Write a part of the high level; its counts of counts, and what the low level counts."""
-    entries = _add_up(np.concatenate([_unpacked(p) for p in pieces]))
+    entries = _add_up(np.concatenate([np.zeros(0, _ENTRY), *(_unpacked(p) for p in pieces)]))
     counts = entries["count"]
-    at = np.flatnonzero(np.r_[True, entries["context"][1:] != entries["context"][:-1]])
+    at = _starts(entries["context"])
     by = np.zeros(len(at), _CONTEXT)
     by["context"] = entries["context"][at]
     by["total"] = np.add.reduceat(counts.astype(np.int64), at)
@@ -225,26 +238,28 @@ def _store_high(part: int, pieces: list[bytes], folder: str, parts: int):
     below["word"] = words
     below["contexts"] = np.bincount(place, minlength=len(words))
     below["count"] = np.bincount(place, weights=counts, minlength=len(words))
-    yield -1, np.array(_seen(counts), "<i8").tobytes()
+    yield None, None, [*_seen(counts), 0]
     for p, rows in _dealt(below, "word", parts):
-        yield p, rows.tobytes()
+        yield p, rows.tobytes(), None
 
 
 def _store_low(part: int, pieces: list[bytes], folder: str, parts: int):
     """Write a part of the low level; its counts of counts."""
-    rows = np.concatenate([np.frombuffer(p, _WORD) for p in pieces])
+    rows = np.concatenate([np.zeros(0, _WORD), *(np.frombuffer(p, _WORD) for p in pieces)])
     rows = rows[np.argsort(rows["word"], kind="stable")]
-    at = np.flatnonzero(np.r_[True, rows["word"][1:] != rows["word"][:-1]])
+    at = _starts(rows["word"])
     out = rows[at]
     out["contexts"] = np.add.reduceat(rows["contexts"].astype(np.int64), at)
     out["count"] = np.add.reduceat(rows["count"], at)
     _store(folder, f"words-{part}", out)
-    seen = [*_seen(out["contexts"]), int(out["count"].sum())]
-    yield -1, np.array(seen, "<i8").tobytes()
+    yield None, None, [*_seen(out["contexts"]), int(out["count"].sum())]
 
 
 def _reduce(blocks: DataFrame, folder: str, parts: int, store) -> DataFrame:
-    """Add up and store the blocks of each part; what ``store`` yields, as (part, block)."""
+    """Add up and store the blocks of each part; what ``store`` yields, as (part, block, seen).
+
+    Every part gets an empty block too, so that one without entries writes its files like any other.
+    """
 
     def run(frames):
         import pandas as pd
@@ -252,18 +267,21 @@ def _reduce(blocks: DataFrame, folder: str, parts: int, store) -> DataFrame:
         got: dict[int, list[bytes]] = {}
         for frame in frames:
             for part, block in zip(frame["part"], frame["block"]):
-                got.setdefault(part, []).append(block)
+                got.setdefault(int(part), []).extend([block] if len(block) else [])
         for part in list(got):
             rows = list(store(part, got.pop(part), folder, parts))
-            yield pd.DataFrame(rows, columns=["part", "block"])
+            made = pd.DataFrame(rows, columns=["part", "block", "seen"])
+            yield made.assign(part=made["part"].astype("Int32"))
 
-    return keep(blocks.repartition(parts, "part").mapInPandas(run, "part int, block binary"), "lm-level")
+    every = blocks.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(b"").alias("block"))
+    dealt = blocks.select("part", "block").unionByName(every).repartition(parts, "part")
+    return keep(dealt.mapInPandas(run, "part int, block binary, seen array<long>"), "lm-level")
 
 
 def _totals(out: DataFrame) -> np.ndarray:
-    """The sum of the counts of counts; a row a part comes to the driver."""
-    found = [np.frombuffer(r.block, "<i8") for r in out.where("part < 0").collect()]
-    return sum(found) if found else np.zeros(8, np.int64)
+    """The sums of the counts of counts; one row comes to the driver."""
+    sums = out.where("seen IS NOT NULL").agg(*[F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(8)])
+    return np.array([n or 0 for n in sums.head()], np.int64)
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -307,7 +325,7 @@ def train(docs: DataFrame, each: int = 1_500_000) -> Model:
     blocks = docs.select("doc_id", "text").mapInPandas(count, "part int, block binary")
     high = _reduce(blocks, f"{folder}/high", parts, _store_high)
     seen_high = _totals(high)
-    seen = _totals(_reduce(high.where("part >= 0"), f"{folder}/low", parts, _store_low))
+    seen = _totals(_reduce(high.where("part IS NOT NULL"), f"{folder}/low", parts, _store_low))
     return Model(
         Level(f"{folder}/low", parts, _discounts(seen)),
         Level(f"{folder}/high", parts, _discounts(seen_high)),
@@ -316,13 +334,6 @@ def train(docs: DataFrame, each: int = 1_500_000) -> Model:
     )
 
 
-def _file(level: Level, kind: str, part: int) -> np.ndarray:
-    try:
-        return _mapped(level.folder, kind, part)
-    except FileNotFoundError:  # a part that got no entries
-        return np.zeros(0, _KINDS[kind])
-
-
 def _find(level: Level, kind: str, part: np.ndarray, keys: np.ndarray, names) -> dict[str, np.ndarray]:
     """Fields of the row of each key, 0 where there is none; sorted keys touch each page once."""
     out = {n: np.zeros(len(keys)) for n in names}
@@ -330,7 +341,7 @@ def _find(level: Level, kind: str, part: np.ndarray, keys: np.ndarray, names) ->
     edges = np.searchsorted(part[by], np.arange(level.parts + 1))
     for p in np.flatnonzero(np.diff(edges)):
         own = by[edges[p] : edges[p + 1]]
-        rows = _file(level, kind, int(p))
+        rows = _opened(level.folder, kind, int(p))
         if not len(rows):
             continue
         column = rows[rows.dtype.names[0]]

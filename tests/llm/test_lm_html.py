@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
+import os
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from shopledger.llm import html, lm
 
 from . import odd
@@ -68,6 +72,22 @@ def test_scores(spark):
     assert lm.train_and_score(odd.empty(spark)).count() == 0
 
 
+def test_parts_without_entries_are_files_and_lost_ones_raise(spark):
+    docs = odd.documents(spark, ["a b a b c", "c b a", "d e f a b", "b a b"] * 3)
+    few, many = lm.train(docs), lm.train(docs, each=1)
+    assert many.high.parts > 5 and few.high.parts == 1
+    stream, first, _ = lm.token_stream(["a b c", "e f x", ""])
+    logs, counts = lm.token_scores(many, stream, first)
+    for got, want in zip((logs, counts), lm.token_scores(few, stream, first)):
+        assert list(got) == list(want)
+    held = [os.readlink(f"/proc/self/fd/{d}") for d in os.listdir("/proc/self/fd") if os.path.lexists(f"/proc/self/fd/{d}")]
+    assert not any(many.low.folder.removeprefix("file://") in h for h in held)
+    gone = dataclasses.replace(many, low=dataclasses.replace(many.low, folder=many.low.folder + "-lost"))
+    with pytest.raises(FileNotFoundError):
+        lm.token_scores(gone, stream, first)
+    assert list(lm._fetched(few.low.folder, "words", 0)) == list(lm._mapped(few.low.folder, "words", 0))
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><header><h1>A &amp; B</h1></header><p>%s<br>
   more&nbsp;of it.<p>Short.<aside>Read on</aside><form><p>Sign up</p></form><div id="comments"><p>%s</p></div></article>
