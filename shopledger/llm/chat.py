@@ -11,7 +11,7 @@ Defined cases: a null text is empty, a null role is the empty role, rows without
 ``conv_id`` form one conversation; turns with equal numbers are ordered by role and text,
 null numbers come first; repeated rows stay; an empty table gives no rows; other columns
 are ignored. A conversation is one text, so its turns meet in one task at the end; they
-are collected in every map task first.
+are collected in every map task first. Time is in proportion to the turns.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import in_groups, let, running
+
 #: The template's control strings.
 OPEN, BODY, NEXT, CLOSE = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 ASSISTANT = "assistant"
@@ -33,20 +35,21 @@ def unescape(text: Column) -> Column:
 
 
 def _blocks(turns: Column) -> Column:
-    """Adjacent turns of one role as (role, texts)."""
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def add(acc: Column, t: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        text = F.array(escape(t["text"]))
-        longer = F.struct(last["role"].alias("role"), F.concat(last["texts"], text).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), text.alias("texts"))
-        same = (F.size(acc) > 0) & (last["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
-            F.concat(acc, F.array(fresh))
-        )
+    """Adjacent turns of one role as (role, texts): slices between the places where the role changes."""
+
+    def cut(turns: Column) -> Column:
+        role = lambda i: F.get(turns, i)["role"]
+        places = F.sequence(F.lit(0), F.size(turns) - 1)
+        opens = F.filter(places, lambda i: (i == 0) | (role(i - 1) != role(i)))
+
+        def block(at: Column, i: Column, k: Column) -> Column:
+            own = F.slice(turns, i + 1, F.coalesce(F.get(at, k + 1), F.size(turns)) - i)
+            texts = F.transform(own, lambda t: escape(t["text"]))
+            return F.struct(role(i).alias("role"), texts.alias("texts"))
+
+        return let(opens, lambda at: F.transform(at, lambda i, k: block(at, i, k)))
 
-    return F.aggregate(turns, none, add)
+    return let(turns, cut)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -63,31 +66,34 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         "blocks",
         lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(CLOSE)),
     )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    step = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
-
-    def within(at: Column, texts: Column) -> Column:
-        """Places of a block's texts, the first at ``at``; the last field is the place after them."""
-        return F.aggregate(
-            texts,
-            step(at, none),
-            lambda acc, t: step(
-                acc["at"] + F.length(t) + len(NEXT),
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(t)).alias("end"))),
+    lead = lambda b, k, i: F.when(i > 0, len(NEXT)).otherwise(
+        F.length(head(b)) + F.when(k > 0, len(CLOSE)).otherwise(0)
+    )
+    steps = F.flatten(
+        F.transform(
+            "blocks",
+            lambda b, k: F.transform(
+                b["texts"],
+                lambda t, i: F.struct(
+                    lead(b, k, i).alias("lead"), F.length(t).alias("n"), (b["role"] == ASSISTANT).alias("learnt")
                 ),
             ),
         )
+    )
 
-    def block(acc: Column, b: Column) -> Column:
-        inner = within(acc["at"] + F.length(head(b)), b["texts"])
-        return step(
-            inner["at"] - len(NEXT) + len(CLOSE),
-            F.when(b["role"] == ASSISTANT, F.concat(acc["spans"], inner["spans"])).otherwise(acc["spans"]),
+    def spans(steps: Column) -> Column:
+        at = running(F.transform(steps, lambda s: s["lead"] + s["n"]))
+        found = F.zip_with(
+            steps,
+            at,
+            lambda s, p: F.struct(
+                (p + s["lead"]).alias("start"), (p + s["lead"] + s["n"]).alias("end"), s["learnt"].alias("learnt")
+            ),
         )
+        learnt = F.filter(found, lambda s: s["learnt"])
+        return F.transform(learnt, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    loss = F.aggregate("blocks", step(F.lit(0), none), block, lambda acc: acc["spans"])
+    loss = let(steps, spans)
     return blocks.select("conv_id", F.array_join(written, "").alias("formatted"), loss.alias("loss"))
 
 
@@ -96,28 +102,39 @@ def read_back(formatted: Column) -> Column:
     closed = F.split(formatted, r"<\|end\|>", -1)
     blocks = F.slice(closed, 1, F.size(closed) - 1)
 
-    def turns(b: Column) -> Column:
-        head = F.split(b, r"<\|text\|>", 2)
-        role, body = F.substring(head[0], F.lit(len(OPEN) + 1), F.length(head[0])), head[1]
-        return F.transform(
-            F.split(body, r"<\|next\|>", -1),
-            lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")),
+    def turns(head: Column) -> Column:
+        role = F.substring(head[0], F.lit(len(OPEN) + 1), F.length(head[0]))
+        return let(
+            unescape(role),
+            lambda r: F.transform(
+                F.split(head[1], r"<\|next\|>", -1),
+                lambda t: F.struct(r.alias("role"), unescape(t).alias("text")),
+            ),
         )
 
-    return F.flatten(F.transform(blocks, turns))
+    return F.flatten(F.transform(blocks, lambda b: let(F.split(b, r"<\|text\|>", 2), turns)))
+
+
+def learnt_texts(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, unescaped; each group of spans is cut out before its spans are."""
+
+    def cut(text: Column, spans: Column) -> Column:
+        first, last = F.get(spans, F.lit(0))["start"], F.get(spans, F.size(spans) - 1)["end"]
+        return let(
+            F.struct(F.substring(text, first + 1, last - first).alias("text"), first.alias("from")),
+            lambda p: F.transform(
+                spans, lambda s: unescape(F.substring(p["text"], s["start"] - p["from"] + 1, s["end"] - s["start"]))
+            ),
+        )
+
+    return F.flatten(let(formatted, lambda text: F.transform(in_groups(loss), lambda spans: cut(text, spans))))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Counts and digests read back from formatted texts and their loss spans."""
     df = formatted.withColumn("_turns", read_back(F.col("formatted")))
     told = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learnt = F.array_join(
-        F.transform(
-            "loss",
-            lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])),
-        ),
-        "",
-    )
+    learnt = F.array_join(learnt_texts(F.col("formatted"), F.col("loss")), "")
     df = df.withColumn("_learnt", learnt)
     return df.select(
         "conv_id",

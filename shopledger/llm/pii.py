@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import whole_rows
+from .tables import let, running, whole_rows
 
 
 @dataclass(frozen=True)
@@ -110,22 +110,9 @@ def _found(kind: Kind, rank: int, text: Column) -> Column:
         F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("v"))),
         lambda s: s["v"].isNotNull(),
     )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,value:string>>").alias("out"),
-    )
-    placed = F.aggregate(
-        steps,
-        start,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["v"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + s["gap"]).alias("start"), s["v"].alias("value"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    step = lambda s, at: F.struct((at + s["gap"]).alias("start"), s["v"].alias("value"))
+    sizes = lambda all: F.transform(all, lambda s: s["gap"] + F.length(s["v"]))
+    placed = let(steps, lambda all: F.zip_with(all, running(sizes(all)), step))
 
     def scored(m: Column) -> Column:
         end = m["start"] + F.length(m["value"])

@@ -6,7 +6,7 @@ import functools
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import landed
@@ -66,6 +66,35 @@ def smallest(df: DataFrame, keys: list[str], order: list[str], most: int) -> Dat
     return df.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= most).drop("_rank")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, wherever the optimizer puts the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_groups(array: Column) -> Column:
+    """The array cut into arrays of 128; an empty one gives one empty array."""
+    last = lambda a: F.shiftright(F.greatest(F.size(a) - 1, F.lit(0)), 7)
+    return let(array, lambda a: F.transform(F.sequence(F.lit(0), last(a)), lambda g: F.slice(a, g * 128 + 1, 128)))
+
+
+def running(sizes: Column) -> Column:
+    """What the entries before each add up to: within groups, and over the sums of groups."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def placed(groups: Column) -> Column:
+        bases = F.aggregate(
+            F.transform(groups, total),
+            none,
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        each = lambda g, base: F.transform(g, lambda _, i: base + total(F.slice(g, F.lit(1), i)))
+        return F.flatten(F.zip_with(groups, bases, each))
+
+    return let(in_groups(sizes), placed)
+
+
 def whole_rows(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Let a step on ``doc_id`` and ``text`` that keeps its rows' columns carry all others in one struct.
 

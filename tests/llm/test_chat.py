@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from shopledger.llm import chat
 
 from . import odd
@@ -57,3 +60,22 @@ def test_adjacent_turns_become_one_block(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_chats(none)).count() == 0
+
+
+def test_many_turns(spark):
+    """Turns past the groups of places, all of one role and by turns; time in proportion to them."""
+    shape = "conv_id long, turn long, role string, text string"
+    rows = [(1, k, ("user", "assistant")[k % 2], f"t{k} <|" * (k % 5)) for k in range(1000)]
+    rows += [(2, k, "assistant", f"u{k}") for k in range(700)]
+    check(spark.createDataFrame(rows, shape))
+
+    def seconds(n):
+        role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+        text = F.concat(F.lit("some words of a turn "), F.col("id").cast("string"))
+        df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+        start = time.time()
+        assert chat.digests(chat.format_chats(df)).head().n_turns == n
+        return time.time() - start
+
+    seconds(8000)
+    assert seconds(32000) < 4 * seconds(8000) + 1
