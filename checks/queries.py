@@ -197,7 +197,7 @@ def plan_detail(t: Tables) -> DataFrame:
 
 
 def _flat_mrp(t: Tables, run: str) -> MrpTables:
-    return flatten_mrp(t.landed(f"mrp-{run}", lambda: t.mrp_cells(run)), header_rows=0)
+    return flatten_mrp(t.landed(f"mrp-{run}", lambda: t.mrp_cells(run)), header_rows=0, parts=t.parts("lineitem"))
 
 
 def _enriched(t: Tables, run: str) -> DataFrame:
@@ -527,7 +527,7 @@ def ladder_long(t: Tables) -> DataFrame:
 
 @_query
 def ladder_table(t: Tables) -> DataFrame:
-    return ladder.ladder_table(t.plan_ladder(), MONTHS)
+    return ladder.ladder_table(t.plan_ladder(t.parts("lineitem")), MONTHS)
 
 
 @_query

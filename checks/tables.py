@@ -16,6 +16,7 @@ from shopledger.session import landed
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 ORDER_BLOCK = 1 << 20
 ITEMS_PER_FILE = 1000
+ROWS_PER_TASK = 500_000
 
 # Months covered by the driver tables.
 MONTHS = [dt.date(y, m, 1) for y in range(1995, 2002) for m in range(1, 13)]
@@ -50,6 +51,11 @@ class Tables:
     def no_req(self, run: str) -> DataFrame:
         return self.sql(views.no_req_sql(run))
 
+    def parts(self, table: str, each: int = ROWS_PER_TASK) -> int:
+        """Partitions for what is derived from a table; they grow with it, so that no task does."""
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(least, -(-self.base[table].count() // each))
+
     def landed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A raw sheet, written on first use and read from there by every loader."""
         return landed_once(self, name, lambda: landed(build(), name))
@@ -92,65 +98,60 @@ class Tables:
         )
         lines = details.unionByName(around, allowMissingColumns=True)
         return number_rows(
-            lines, by=["file"], chunk=["reason_id", "kind", "block"], order=["sheet", *order]
+            lines, by=["file"], chunk=["reason_id", "kind", "block"], order=["sheet", *order],
+            parts=self.parts("lineitem"),
         ).select("file", "row_no", "txt", "hours")
 
     def mrp_cells(self, run: str) -> DataFrame:
         """The hierarchical requirements report: one file per thousand items."""
-        items = self.sql(views.items_sql(run))
-        heads = items.select(
-            "part_key",
-            F.lit(0).alias("kind"),
-            F.lit(0).cast("bigint").alias("block"),
-            _cells(
-                {
-                    0: F.col("item"),
-                    3: F.col("vendor"),
-                    4: F.col("type"),
-                    6: F.col("on_hand").cast("string"),
-                    9: F.col("requirement"),
-                    11: F.col("demand_total").cast("string"),
-                }
-            ),
+        heads = self.sql(views.items_sql(run)).withColumns(
+            {"kind": F.lit(0), "block": F.lit(0).cast("bigint")}
         )
         lines = self.po(
             run,
             "arrival_date", "ship_date", "qty", "vendor_po_text",
             "part_key", "order_key", "line_1", "line_2",
         )
-        details = lines.select(
-            "part_key",
-            F.lit(1).alias("kind"),
-            F.floor(F.col("order_key") / F.lit(ORDER_BLOCK)).alias("block"),
-            "order_key",
-            "line_1",
-            "line_2",
-            _cells(
-                {
-                    1: F.concat(F.lit("Purchase Order "), F.col("order_key").cast("string")),
-                    2: F.date_format("arrival_date", "yyyy-MM-dd"),
-                    3: F.date_format("ship_date", "yyyy-MM-dd"),
-                    4: F.col("qty").cast("bigint").cast("string"),
-                    5: F.col("vendor_po_text"),
-                }
-            ),
+        details = lines.withColumns(
+            {"kind": F.lit(1), "block": F.floor(F.col("order_key") / F.lit(ORDER_BLOCK))}
         )
         group = F.floor(F.col("part_key") / F.lit(ITEMS_PER_FILE)).cast("string")
         rows = details.unionByName(heads, allowMissingColumns=True).withColumn(
             "file", F.concat(F.lit(f"{run}_"), group)
         )
-        return number_rows(
+        numbered = number_rows(
             rows,
             by=["file"],
             chunk=["part_key", "kind", "block"],
             order=["order_key", "line_1", "line_2"],
-        ).select("file", "row_no", "cells")
+            parts=self.parts("lineitem"),
+        )
+        head = _cells(
+            {
+                0: F.col("item"),
+                3: F.col("vendor"),
+                4: F.col("type"),
+                6: F.col("on_hand").cast("string"),
+                9: F.col("requirement"),
+                11: F.col("demand_total").cast("string"),
+            }
+        )
+        detail = _cells(
+            {
+                1: F.concat(F.lit("Purchase Order "), F.col("order_key").cast("string")),
+                2: F.date_format("arrival_date", "yyyy-MM-dd"),
+                3: F.date_format("ship_date", "yyyy-MM-dd"),
+                4: F.col("qty").cast("bigint").cast("string"),
+                5: F.col("vendor_po_text"),
+            }
+        )
+        return numbered.select("file", "row_no", F.when(F.col("kind") == 0, head).otherwise(detail).alias("cells"))
 
     def sales_ladder_cells(self) -> DataFrame:
         """The sales ladder sheet: one amount column per month."""
         lines = self.view(views.SALES_LADDER)
         keys = ["part_key", "item", "lmx", "customer", "unit_price"]
-        wide = _by_month(lines, keys, "line_amount", MONTHS)
+        wide = _by_month(lines, keys, "line_amount", MONTHS, self.parts("lineitem"))
         header = ["Item", "LMX", "Cliente", "Unit Price"]
         header += [f"{m.isoformat()} 00:00:00.1" for m in MONTHS]
         fixed = [F.col(k) for k in ("item", "lmx", "customer")]
@@ -167,7 +168,7 @@ class Tables:
         lines = self.view(views.PLAN_LADDER).withColumn(
             "file", F.concat(F.lit("plan_"), F.col("snapshot_no").cast("string"))
         )
-        wide = _by_month(lines, ["file", "part_key", "item"], "line_qty", MONTHS)
+        wide = _by_month(lines, ["file", "part_key", "item"], "line_qty", MONTHS, self.parts("lineitem"))
         rows = wide.select(
             "file",
             (F.col("part_key") + 1).alias("row_no"),
@@ -177,9 +178,10 @@ class Tables:
         heads = [self._header(f"plan_{i}", header) for i in (1, 2, 3)]
         return rows.unionByName(heads[0].unionByName(heads[1]).unionByName(heads[2]))
 
-    def plan_ladder(self) -> DataFrame:
-        """The plan ladder in long form."""
+    def plan_ladder(self, parts: int | None = None) -> DataFrame:
+        """The plan ladder in long form; with ``parts``, lines meet by item, for all that is grouped by it."""
         lines = self.view(views.PLAN_LADDER)
+        lines = lines.repartition(parts, "item") if parts else lines
         return (
             lines.groupBy(
                 "item",
@@ -217,10 +219,12 @@ def _cells(filled: dict):
     return F.array(*[filled.get(i, empty) for i in range(12)]).alias("cells")
 
 
-def _by_month(lines: DataFrame, keys: list[str], measure: str, months: list) -> DataFrame:
+def _by_month(lines: DataFrame, keys: list[str], measure: str, months: list, parts: int) -> DataFrame:
+    """A row for each key with a column a month; lines meet by part once, for both groupings."""
     month = month_start(F.col("on_date")).alias("month")
     return (
-        lines.groupBy(*keys, month)
+        lines.repartition(parts, "part_key")
+        .groupBy(*keys, month)
         .agg(exact_sum(F.col(measure)).alias("v"))
         .groupBy(*keys)
         .pivot("month", months)

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from shopledger.session import landed
 
 # Consecutive rows filled in one go; a hot file of 1e12 rows leaves 1.5e7 summaries.
 BUCKET_ROWS = 1 << 16
@@ -15,6 +18,9 @@ _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 # Consecutive rows that share one copy of their file's header in a join.
 JOIN_ROWS = 1 << 12
 
+# Bytes of a table, about, up to which it is handed to every task.
+HANDED_OUT = 1 << 26
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key in the given order; null keys count as one key.
@@ -33,6 +39,7 @@ def forward_fill(
     by: Sequence[str] = ("file",),
     order: str = "row_no",
     bucket_rows: int | None = BUCKET_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Replace nulls by the last non-null value before them in the same ``by`` group.
 
@@ -41,14 +48,15 @@ def forward_fill(
     their bucket. What a bucket inherits is carried along one row per bucket, and along one
     row per ``bucket_rows`` buckets, so no window sees more rows than that in a group of
     ``bucket_rows`` cubed. The rows are shuffled once; their last values are taken from the
-    same shuffle. ``bucket_rows=None`` uses the plain window, for many small groups.
+    same shuffle, into ``parts`` partitions. ``bucket_rows=None`` uses the plain window, for
+    many small groups.
     """
     if bucket_rows is None:
         window = Window.partitionBy(*by).orderBy(order).rowsBetween(*_SO_FAR)
         return df.withColumn(column, F.last(column, ignorenulls=True).over(window))
 
     keys = [*by, "_bucket"]
-    dealt = df.withColumn("_bucket", in_block(order, bucket_rows)).repartition(*keys)
+    dealt = df.withColumn("_bucket", in_block(order, bucket_rows)).repartition(*([parts] if parts else []), *keys)
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(*_SO_FAR)
     filled = dealt.withColumn("_inside", F.last(column, ignorenulls=True).over(inside))
     ends = _last_of_each(dealt, keys, df.columns, column, order)
@@ -96,12 +104,14 @@ def number_rows(
     chunk: Sequence[str],
     order: Sequence[str],
     name: str = "row_no",
+    parts: int | None = None,
 ) -> DataFrame:
     """Number the rows of each ``by`` group 1, 2, 3, … along ``chunk`` then ``order``.
 
     ``chunk`` are leading, non-null sort columns that cut a group into moderate pieces.
     Rows are ranked inside their chunk and shifted by the sizes of the chunks before it,
-    so no task sorts a whole group.
+    so no task sorts a whole group. ``parts`` is the number of partitions, if it must grow
+    with the rows.
     """
     keys = [*by, *chunk]
     before = (
@@ -110,8 +120,9 @@ def number_rows(
     shift = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
     shifts = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, shift)
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    dealt = df.repartition(parts, *keys) if parts else df
     return (
-        df.withColumn("_local", local)
+        dealt.withColumn("_local", local)
         .join(shifts, keys)
         .select(*df.columns, (F.col("_shift") + F.col("_local")).alias(name))
     )
@@ -126,8 +137,12 @@ def join_per_group(
     on (group, block), so a group that holds most of the table is spread out. It is
     handed down in two steps, to blocks of blocks first, so that no step repeats a
     row more than ``JOIN_ROWS`` times in one task. Groups missing from ``per_group``
-    drop out.
+    drop out. A small side of at most ``HANDED_OUT`` bytes is handed to every task, and the
+    rows stay where they are.
     """
+    per_group = landed(per_group, "groups")
+    if _bytes(per_group) <= HANDED_OUT:
+        return rows.join(F.broadcast(per_group), by)
     blocked = rows.withColumn("_block", in_block(order, JOIN_ROWS))
     blocks = blocked.select(by, "_block").distinct().withColumn("_area", in_block("_block", JOIN_ROWS))
     areas = blocks.select(by, "_area").distinct().join(per_group, by)
@@ -135,6 +150,24 @@ def join_per_group(
     return blocked.join(spread, [by, "_block"]).drop("_block")
 
 
+def handed_out(small: DataFrame, *, stored: bool = False) -> DataFrame:
+    """A table for the small side of a join: written once, and handed to every task unless it is too large."""
+    table = small if stored else landed(small, "small")
+    return F.broadcast(table) if _bytes(table) <= HANDED_OUT else table
+
+
+def _bytes(table: DataFrame) -> int:
+    """About how many bytes the rows of a stored table take."""
+    sizes = [F.lit(64)]
+    for f in table.schema.fields:
+        if isinstance(f.dataType, ArrayType):
+            joined = F.coalesce(F.length(F.array_join(F.col(f.name).cast("array<string>"), "")), F.lit(0))
+            sizes.append(F.greatest(F.size(f.name), F.lit(0)) * 16 + joined)
+        elif f.dataType.simpleString() == "string":
+            sizes.append(F.coalesce(F.length(f.name), F.lit(0)))
+    return table.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+
+
 def in_block(order: str, size: int) -> Column:
     """The block of ``size`` consecutive numbers that a number is in."""
     return F.expr(f"`{order}` DIV {size}")

@@ -28,19 +28,21 @@ def flatten_mrp(
     header_rows: int = 1,
     date_formats=ISO_FORMATS,
     bucket_rows: int | None = BUCKET_ROWS,
+    parts: int | None = None,
 ) -> MrpTables:
     """Split a report into order lines and items without requirement.
 
     An item row sets item and type for the order lines below it; the type may be
     empty there and is still carried. A row may be an item and an order line at once.
+    ``parts`` is the number of partitions in which rows are filled, if it must grow with them.
     """
     body = without_edges(raw, top=header_rows)
     return MrpTables(
-        po=_order_lines(body, date_formats, bucket_rows), no_req=_no_requirement(body)
+        po=_order_lines(body, date_formats, bucket_rows, parts), no_req=_no_requirement(body)
     )
 
 
-def _order_lines(body: DataFrame, date_formats, bucket_rows: int | None) -> DataFrame:
+def _order_lines(body: DataFrame, date_formats, bucket_rows: int | None, parts: int | None) -> DataFrame:
     is_item = strip_ws(cell(0)) != ""
     is_order = F.coalesce(F.contains(cell(1), F.lit(ORDER_MARK)), F.lit(False))
     marked = body.select(
@@ -49,7 +51,7 @@ def _order_lines(body: DataFrame, date_formats, bucket_rows: int | None) -> Data
         F.when(is_item, F.struct(cell(0).alias("item"), cell(4).alias("type"))).alias("head"),
         F.when(is_order, F.struct(*[cell(i).alias(f"c{i}") for i in (2, 3, 4, 5)])).alias("line"),
     ).where("head IS NOT NULL OR line IS NOT NULL")
-    filled = forward_fill(marked, "head", bucket_rows=bucket_rows).where("line IS NOT NULL")
+    filled = forward_fill(marked, "head", bucket_rows=bucket_rows, parts=parts).where("line IS NOT NULL")
     return filled.select(
         "file",
         "row_no",
