@@ -6,7 +6,10 @@ import re
 
 import pytest
 
+from checks import tables
 from checks.queries import queries
+from shopledger.sources import cells
+from shopledger.sources.mrp import flatten_mrp
 from tests.conftest import SMALL
 
 QUERIES = queries()
@@ -105,3 +108,23 @@ def test_ladder_dates_are_slots(plans):
 def test_sheets_are_read_once(spark, name):
     text = final(QUERIES[name](spark, SMALL))
     assert text.count("FileScan") == 1 and "ReusedExchange" in text
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    """More rows give more tasks of the same size, which the session's number of partitions does not."""
+    monkeypatch.setattr(tables.Tables.parts, "__defaults__", (100,))
+    t = tables.Tables(spark, SMALL)
+    parts = t.parts("lineitem")
+    assert parts == -(-t.base["lineitem"].count() // 100) > 8
+    for df in (QUERIES["ladder_table"](spark, SMALL), t.plan_ladder_cells(), t.sales_ladder_cells(), t.mrp_cells("post")):
+        assert f", {parts}), REPARTITION_BY_NUM" in plan(df)
+    raw = spark.createDataFrame([("f", 1, ["a"])], "file string, row_no long, cells array<string>")
+    assert ", 17), REPARTITION_BY_NUM" in plan(flatten_mrp(raw, parts=17).po)
+
+
+def test_first_rows_and_headers_are_joined_without_a_shuffle_of_cells(spark):
+    rows = [(f"f{k}", n, ["Item", str(n)]) for k in range(3) for n in range(9)]
+    raw = spark.createDataFrame(rows, "file string, row_no long, cells array<string>")
+    for df in (cells.first_rows(raw), cells.without_edges(raw, top=2, bottom=1)):
+        assert "SortMergeJoin" not in plan(df) and "Window" not in plan(df)
+    assert sorted(r.row_no for r in cells.without_edges(raw, top=2, bottom=1).collect()) == sorted(3 * [2, 3, 4, 5, 6, 7])
