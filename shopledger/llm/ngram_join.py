@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import as_text, exact_ids, keep, numbered, whole_rows, width
-from .textblock import Prefix, TextBlock, U64, batches, mix
+from .textblock import MOST_CHARS, Prefix, TextBlock, U64, batches, mix
 
 WORDS = 5
 #: Slots of the table of common shingles (a byte each), and bits of the candidates' table:
@@ -77,7 +77,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             _, _, size, name = shingle_sets(frame["text"].tolist())
             doc = exact_ids(frame["doc_id"])
             yield pd.DataFrame({"_row": frame["_row"], "doc_id": doc, "n": size, "set": name})
@@ -121,7 +121,7 @@ def _counts(docs: DataFrame) -> DataFrame:
             return pd.DataFrame(rows, columns=["range", "packed"])
 
         held = []
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             held.append(_keys(shingle_sets(frame["text"].tolist())[1]))
             if sum(map(len, held)) > HELD:
                 yield told()
@@ -223,7 +223,7 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
         import pandas as pd
 
         seen: set[int] = set()
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             text, shingle, size, name = shingle_sets(frame["text"].tolist())
             fresh = np.zeros(len(size), bool)
             for k, s in enumerate(name.tolist()):
@@ -273,7 +273,7 @@ def _sets(docs: DataFrame, bits, levels) -> DataFrame:
         import pandas as pd
 
         seen: set[int] = set()
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             text, shingle, size, name = shingle_sets(frame["text"].tolist())
             low = name.view(np.uint64) & U64((1 << BITS_LOG2) - 1)
             may = (bits.value[(low >> U64(6)).astype(np.int64)] >> (low & U64(63))) & U64(1)

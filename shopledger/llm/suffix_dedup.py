@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .anchors import SPAN, anchors
 from .tables import keep, numbered, whole_rows, width
-from .textblock import TextBlock, U64, batches, mix
+from .textblock import MOST_CHARS, TextBlock, U64, batches, mix
 
 #: Bits of the table of open samples, and of the blocks that tasks put together.
 BITS_LOG2, BLOCK_LOG2 = 26, 18
@@ -57,7 +57,7 @@ def _samples(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             text, start, places, key, name, _, _ = anchors(frame["text"].tolist())
             key, rows = key.view(np.int64), frame["_row"].to_numpy(np.int64)[text]
             salt = 1 + (_bit(rows, np.zeros(len(rows), np.int64)) % U64(SALTS)).astype(np.int32)
@@ -150,7 +150,7 @@ def _sent(docs: DataFrame, bits) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             text, start, places, key, _, _, block = anchors(frame["text"].tolist())
             rows = frame["_row"].to_numpy(np.int64)[text]
             bit = _bit(rows, start)

@@ -18,6 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Characters of a batch where six tasks share an executor with a heap of much of its memory.
+MOST_CHARS = 900_000
 #: Buffers above this are cut by the callers' batches; powers are kept for one buffer.
 _POWERS: dict[str, np.ndarray] = {}
 
