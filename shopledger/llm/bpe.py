@@ -2,10 +2,11 @@
 
 Texts are cut into chunks where a rolling hash of the last 48 bytes says so, at white
 space, so that a passage shared by many documents yields the same chunks in each. A
-worker encodes a chunk once and words that a new chunk shares with earlier ones once;
-both memories are bounded and outlive a task. At every join of two chunks the words
-around it are encoded again together, in growing stretches, until the ids agree exactly
-with those of the chunks; a join that never agrees makes the two chunks one.
+worker encodes a chunk once and words that a new chunk shares with earlier ones once,
+in whatever case they are written; both memories are bounded and outlive a task. At every
+join of two chunks the words around it are encoded again together, all joins of a batch
+in one go; where that doesn't agree, in growing stretches, until the ids agree exactly
+with those of the chunks. A join that never agrees makes the two chunks one.
 
 Nothing is shuffled: moving every chunk to the one task that encodes it, and its ids
 back, would move more bytes than the text itself has.
@@ -21,6 +22,7 @@ import hashlib
 import re
 from array import array
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,14 +35,12 @@ ROLL = 48
 MASK = U64(127)
 #: Characters the short cut may hold: printable ASCII and Latin-1 letters. They are stable
 #: under canonical composition and have one-to-one lower case.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PLAIN_ASCII = re.compile(rb"[!-~]+")
-#: The vocabulary's own split of a lower-cased plain word, for ASCII bytes and for text.
-_SPLIT_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+")
-_SPLIT = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]"
-    r"|[^0-9a-zß-öø-ÿ]+"
-)
+#: White space between words goes with them.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: A word with any other character, found from its start, so that long words are read once.
+_ODD = re.compile(r"(?<![^\t-\r ])([!-~À-ÖØ-öø-ÿ]*+[^\t-\r -~À-ÖØ-öø-ÿ][^\t-\r ]*)")
+#: The vocabulary's own split of a lower-cased plain word.
+_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^0-9a-zß-öø-ÿ]+")
 _WORD_END_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -71,17 +71,21 @@ class Memory:
 
 
 class Known(dict):
-    """A map that works out what it misses; it is emptied when it holds too much."""
+    """A map that works out what it misses, bounded like ``Memory``; long keys are not kept."""
 
     def __init__(self, find, most: int):
         super().__init__()
-        self._find, self._most = find, most
+        self._find, self._most, self._old = find, most // 2, {}
 
     def __missing__(self, key):
-        value = self._find(key)
-        if len(self) >= self._most:
-            self.clear()
-        self[key] = value
+        value = self._old.get(key)
+        if value is None:
+            value = self._find(key)
+        if len(key) < 200:
+            if len(self) >= self._most:
+                self._old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -109,7 +113,7 @@ class Encoder:
         controls = [re.escape(t["content"]) for t in told.get("added_tokens", [])]
         self._control = re.compile("|".join(controls) or "(?!)")
         self._letters = _byte_letters()
-        self._words, self._bits = Known(self._word, 1_000_000), Known(self._bit, 600_000)
+        self._words, self._odd = Known(self._word, 1_200_000), Known(self.whole, 400_000)
         self._chunks, self._joins = Memory(48 << 20), Memory(200_000)
         # without a decoder, the library joins the ids' own strings by spaces
         self._strings = None
@@ -121,44 +125,52 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         """The library's own ids of a text."""
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _bit(self, bit: bytes) -> bytes:
-        letters = self._letters
-        shown = bit.decode() if bit.isascii() else "".join([letters[b] for b in bit])
-        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
-
-    def _word(self, raw: bytes) -> bytes:
-        if self._plain and len(raw) < 200:
-            if raw.isalpha():  # ASCII letters only
-                return self._bits[raw.lower()]
-            if raw.isascii():
-                if raw.isalnum() or (_PLAIN_ASCII.fullmatch(raw) and not self._controlled(raw)):
-                    return b"".join(map(self._bits.__getitem__, _SPLIT_ASCII.findall(raw.lower())))
-            else:
-                text = raw.decode("utf-8", "surrogatepass")
-                if _PLAIN.fullmatch(text) and not self._controlled(raw):
-                    bits = [b.encode() for b in _SPLIT.findall(text.lower())]
-                    return b"".join(map(self._bits.__getitem__, bits))
-        return self.whole(raw.decode("utf-8", "surrogatepass"))
-
-    def _controlled(self, raw: bytes) -> bool:
-        """Whether a word may hold a control string."""
-        return b"<" in raw and self._control.search(raw.decode()) is not None
-
-    def _of(self, words: list[bytes]) -> bytes:
-        """Ids of words, one after the other; a very long word is not remembered."""
-        if max(map(len, words), default=0) < 200:
-            return b"".join(map(self._words.__getitem__, words))
-        return b"".join([self._words[w] if len(w) < 200 else self._word(w) for w in words])
+        return array("I", ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-cased plain word; its bits are such words too."""
+        if not word.isalpha():
+            bits = _SPLIT.findall(word)
+            if len(bits) > 1:
+                return b"".join(map(self._words.__getitem__, bits))
+        if not word.isascii():
+            word = "".join(map(self._letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+
+    def _plainly(self, text: str) -> bytes:
+        """Ids of plain text, one word after the other."""
+        return b"".join(map(self._words.__getitem__, text.lower().split()))
+
+    def _of(self, raw: bytes) -> bytes:
+        """Ids of the words of a stretch, one after the other."""
+        text = raw.decode("utf-8", "surrogatepass")
+        if self._plain and ("<" not in text or self._control.search(text) is None):
+            if _PLAIN.fullmatch(text):
+                return self._plainly(text)
+            out = _ODD.split(text)  # plain text and odd words by turns
+            out[::2] = map(self._plainly, out[::2])
+            out[1::2] = map(self._odd.__getitem__, out[1::2])
+            return b"".join(out)
+        return b"".join([self._odd[w.decode("utf-8", "surrogatepass")] for w in raw.split()])
 
     def _chunk(self, raw: bytes) -> bytes:
         ids = self._chunks.get(raw)
         if ids is None:
-            ids = self._of(raw.split())
+            ids = self._of(raw)
             self._chunks.put(raw, ids, len(raw) + len(ids) + 200)
         return ids
 
+    def _settle(self, texts: list[list[bytes]]) -> None:
+        """Encode the words at all new joins again in one go; if that doesn't agree, each is left to be looked at alone."""
+        keys = set()
+        for chunks in texts:
+            for left, right in pairwise(chunks):
+                keys.add(b" ".join(left.rsplit(None, 1)[-1:] + right.split(None, 1)[:1]))
+        new = [k for k in keys if self._joins.get(k) is None]
+        if self.whole(b" ".join(new).decode("utf-8", "surrogatepass")) == b"".join(map(self._of, new)):
+            for key in new:
+                self._joins.put(key, True)
+
     def _agree(self, left: bytes, right: bytes) -> bool:
         """Whether the ids around a join are those of both sides, one after the other."""
         near = 1
@@ -167,8 +179,7 @@ class Encoder:
             key = b" ".join(tail + head)
             same = self._joins.get(key)
             if same is None:
-                both = self._of(tail + head)
-                same = self.whole(key.decode("utf-8", "surrogatepass")) == both
+                same = self.whole(key.decode("utf-8", "surrogatepass")) == self._of(key)
                 self._joins.put(key, same)
             if same:
                 return True
@@ -192,19 +203,20 @@ class Encoder:
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         block = TextBlock(texts)
-        rolled = block.bytes_prefix().windows(ROLL)
-        ends = np.arange(ROLL, ROLL + len(rolled))
-        cuts = ends[((rolled & MASK) == 0) & _SPACE[block.data[ends - 1]]] if len(rolled) else ends
+        ends = np.flatnonzero(_SPACE[block.data[ROLL - 1 :]]) + ROLL
+        rolled = block.bytes_prefix().windows(ROLL, ends - ROLL)
+        cuts = ends[(rolled & MASK) == 0]
         owner = np.searchsorted(block.offsets, cuts - 1, "right") - 1
         cuts = cuts[cuts - ROLL >= block.offsets[owner]]
         first = np.searchsorted(cuts, block.offsets[:-1], "right")
         last = np.searchsorted(cuts, block.offsets[1:], "left")
-        out = []
+        texts = []
         for k, raw in enumerate(block.raw):
             at = [0, *(cuts[first[k] : last[k]] - block.offsets[k]).tolist(), len(raw)]
-            chunks = [raw[a:b] for a, b in zip(at[:-1], at[1:])]
-            out.append(np.frombuffer(self.encode(chunks), "<u4"))
-        return out
+            texts.append([raw[a:b] for a, b in zip(at[:-1], at[1:])])
+        if self._plain:
+            self._settle(texts)
+        return [np.frombuffer(self.encode(chunks), "<u4") for chunks in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         """What the library's decode(ids, skip_special_tokens=False) gives."""

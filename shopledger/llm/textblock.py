@@ -57,11 +57,13 @@ class Prefix:
         h = (self._sums[end] - self._sums[start]) * self._down[start]
         return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of each ``values[i:i+width]``."""
+    def windows(self, width: int, starts: np.ndarray | None = None) -> np.ndarray:
+        """Hash of each ``values[i:i+width]``, or of those at ``starts``."""
         n = len(self._sums) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
+        if starts is not None:
+            return mix((self._sums[starts + width] - self._sums[starts]) * self._down[starts])
         return mix((self._sums[width:] - self._sums[:n]) * self._down[:n])
 
 

@@ -183,6 +183,41 @@ def test_other_vocabulary(spark):
     assert enc.texts([text])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
 
 
+def test_joins_are_encoded_again_in_one_go(library):
+    """One call of the library a batch, not one a join; a word in other cases is worked out once."""
+    enc, calls, found = bpe.Encoder(WORD_BPE), [], []
+    whole, word = enc.whole, enc._words._find
+    enc.whole = lambda text: calls.append(text) or whole(text)
+    enc._words._find = lambda key: found.append(key) or word(key)
+    texts = [" ".join(f"{odd.PROSE}{'xyz'[k % 3] * (k % 11 + 1)}, It's{k}" for k in range(a, a + 400)) for a in (0, 400)]
+    got = enc.texts([t.upper() for t in texts] + texts)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in got] == expected * 2
+    assert len(calls) == 1 and len(calls[0].split()) > 40
+    assert len(found) == len(set(found))
+
+
+def test_known_words_outlive_a_full_memory():
+    found = []
+    known = bpe.Known(lambda key: found.append(key) or key.encode(), 8)
+    for key in "abcdefghi":
+        assert known[key] == key.encode()
+    assert known["h"] == b"h" and known["x" * 300] == known["x" * 300]
+    assert found == [*"abcdefghi", "x" * 300, "x" * 300]
+
+
+def test_plain_odd_and_control_words_side_by_side(library):
+    words = [
+        "Über", "ÀÉÎ", "it's", "IT'LL", "''s", "12a", "a<b", "x" * 250, "—", "e\u0301a", "\u0301a", "ﬁn", "ΣΑΣ", "İ", "a\u0085b",
+        "a\u00a0b", "\u3000", "a\x1cb", "\x00", "日本", "🙂", "×", "µ", "ß'S", "<|endoftext|>", "x<|startoftext|>'s", "<|ENDOFTEXT|>",
+    ]
+    rng = np.random.default_rng(5)
+    for some in (words[:9], words[:-3], words):
+        texts = ["".join(w + " \t\n\r\x0b\x0c"[k] for w, k in zip(rng.choice(some, 600), rng.integers(0, 6, 600))) for _ in range(4)]
+        got = bpe.Encoder(WORD_BPE).texts(texts)
+        assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("shard", [40_000, 25])
 def test_packing(docs, library, shard):
     import zlib
