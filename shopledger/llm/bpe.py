@@ -23,16 +23,22 @@ import re
 from array import array
 from functools import cache
 from itertools import pairwise
+from sys import getsizeof
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .tables import as_text, exact_ids
-from .textblock import TextBlock, U64, _SPACE, batches
+from .textblock import MOST_CHARS, TextBlock, U64, _SPACE, batches
 
 ROLL = 48
 #: One white-space position in 128 ends a chunk.
 MASK = U64(127)
+#: Bytes that a worker's memories of words, odd words, chunks and joins may take. Two workers share an executor
+#: with a heap that earlier stages have filled.
+WORDS_MOST, ODD_MOST, CHUNKS_MOST, JOINS_MOST = 72 << 20, 12 << 20, 16 << 20, 8 << 20
+#: Bytes that the place of an entry takes in a map, about.
+PLACE = 60
 #: Characters the short cut may hold: printable ASCII and Latin-1 letters. They are stable
 #: under canonical composition and have one-to-one lower case.
 #: White space between words goes with them.
@@ -51,8 +57,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _cost(key, value) -> int:
+    """Bytes that an entry of a map takes, with its place there."""
+    return getsizeof(key) + getsizeof(value) + PLACE
+
+
 class Memory:
-    """A bounded map: when the young half is full, the old half is forgotten."""
+    """A map of so many bytes: when the young half is full, the old half is forgotten; what exceeds a half is not kept."""
 
     def __init__(self, most: int):
         self._most, self._young, self._old, self._size = most // 2, {}, {}, 0
@@ -63,7 +74,10 @@ class Memory:
             self.put(key, found)
         return found
 
-    def put(self, key, value, cost: int = 1) -> None:
+    def put(self, key, value) -> None:
+        cost = _cost(key, value)
+        if cost > self._most:
+            return
         self._size += cost
         if self._size > self._most:
             self._old, self._young, self._size = self._young, {}, cost
@@ -71,19 +85,21 @@ class Memory:
 
 
 class Known(dict):
-    """A map that works out what it misses, bounded like ``Memory``; long keys are not kept."""
+    """A map that works out what it misses, bounded like ``Memory`` in entries and in bytes; long keys are not kept."""
 
-    def __init__(self, find, most: int):
+    def __init__(self, find, most: int, room: int = 16 << 20):
         super().__init__()
-        self._find, self._most, self._old = find, most // 2, {}
+        self._find, self._most, self._room, self._old, self._size = find, most // 2, room // 2, {}, 0
 
     def __missing__(self, key):
         value = self._old.get(key)
         if value is None:
             value = self._find(key)
         if len(key) < 200:
-            if len(self) >= self._most:
-                self._old = dict(self)
+            cost = _cost(key, value)
+            self._size += cost
+            if len(self) >= self._most or self._size > self._room:
+                self._old, self._size = dict(self), cost
                 self.clear()
             self[key] = value
         return value
@@ -113,8 +129,8 @@ class Encoder:
         controls = [re.escape(t["content"]) for t in told.get("added_tokens", [])]
         self._control = re.compile("|".join(controls) or "(?!)")
         self._letters = _byte_letters()
-        self._words, self._odd = Known(self._word, 1_200_000), Known(self.whole, 400_000)
-        self._chunks, self._joins = Memory(48 << 20), Memory(200_000)
+        self._words, self._odd = Known(self._word, 1_200_000, WORDS_MOST), Known(self.whole, 400_000, ODD_MOST)
+        self._chunks, self._joins = Memory(CHUNKS_MOST), Memory(JOINS_MOST)
         # without a decoder, the library joins the ids' own strings by spaces
         self._strings = None
         if told.get("decoder") is None:
@@ -157,7 +173,7 @@ class Encoder:
         ids = self._chunks.get(raw)
         if ids is None:
             ids = self._of(raw)
-            self._chunks.put(raw, ids, len(raw) + len(ids) + 200)
+            self._chunks.put(raw, ids)
         return ids
 
     def _settle(self, texts: list[list[bytes]]) -> None:
@@ -243,7 +259,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         import pandas as pd
 
         use = encoder(path)
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             ids = use.texts(frame["text"].tolist())
             yield pd.DataFrame({"doc_id": exact_ids(frame["doc_id"]), "ids": [i.astype(np.int64) for i in ids]})
 
@@ -272,7 +288,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
         use = encoder(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for frame in batches(frames, "text"):
+        for frame in batches(frames, "text", MOST_CHARS):
             ids = use.texts(frame["text"].tolist())
             yield pd.DataFrame(
                 {

@@ -16,10 +16,11 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import encoder
 from .tables import as_text, exact_ids, keep, parts_for
-from .textblock import batches
+from .textblock import slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -81,23 +82,23 @@ def best_fit(lengths: list[int], most: int) -> tuple[list[int], list[int]]:
 def cut(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1) -> DataFrame:
     """The pieces of every document's ids and end id: full windows and one remainder."""
 
-    def run(frames):
-        import pandas as pd
+    def run(parts):
+        import pyarrow as pa
 
         use = encoder(path)
-        for frame in batches(frames, "text"):
+        for part in slices(parts, "text"):
             rows = []
-            for doc, ids in zip(frame["doc_id"].tolist(), use.texts(frame["text"].tolist())):
+            for k, ids in enumerate(use.texts(part.column("text").to_pylist())):
                 raw = memoryview(ids.tobytes() + np.array([end_id], "<u4").tobytes())
                 total = len(raw) // 4
                 for a in range(0, total, most):
                     b = min(a + most, total)
-                    rows.append((doc, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), total))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = exact_ids(out["doc_id"])
-            yield out
+                    rows.append((k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), total))
+            owner, *told = (pa.array(x, pa.int64()) for x in zip(*rows))
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(owner), *told], names)
 
-    return as_text(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, shard: int = 40_000) -> DataFrame:

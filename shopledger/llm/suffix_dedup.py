@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .anchors import SPAN, anchors
 from .tables import keep, numbered, whole_rows, width
-from .textblock import MOST_CHARS, TextBlock, U64, batches, mix
+from .textblock import MOST_CHARS, TextBlock, U64, batches, mix, slices
 
 #: Bits of the table of open samples, and of the blocks that tasks put together.
 BITS_LOG2, BLOCK_LOG2 = 26, 18
@@ -297,7 +297,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches_):
         import pyarrow as pa
 
-        for batch in batches_:
+        for batch in slices(batches_, "text"):
             rows = []
             for text, starts, ends in zip(*(batch.column(n).to_pylist() for n in ("text", "_from", "_to"))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -320,7 +320,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def run(batches_):
         import pyarrow as pa
 
-        for batch in batches_:
+        for batch in slices(batches_, "text"):
             texts = batch.column("text").to_pylist()
             froms, tos = batch.column("_from").to_pylist(), batch.column("_to").to_pylist()
             for k, (text, starts, ends) in enumerate(zip(texts, froms, tos)):

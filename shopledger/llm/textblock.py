@@ -107,3 +107,21 @@ def batches(frames, column: str, most: int = 1_900_000):
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield frame.iloc[a:b]
+
+
+def slices(parts, column: str, most: int = MOST_CHARS):
+    """Parts of Arrow batches whose texts hold about ``most`` bytes, one text at least, without a copy of a batch.
+
+    A batch has up to 10,000 texts; made into Python objects at once, they would take its size again.
+    """
+    import pyarrow.compute as pc
+
+    for part in parts:
+        sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(sizes):
+            continue
+        group = (np.cumsum(sizes) - sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield part.slice(a, b - a)
+        del part

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from shopledger.llm import bpe, packing, pii, quality
+from shopledger.llm import bpe, packing, pii, quality, textblock
 
 from . import odd
 
@@ -206,6 +206,34 @@ def test_known_words_outlive_a_full_memory():
     assert found == [*"abcdefghi", "x" * 300, "x" * 300]
 
 
+def test_memories_are_bounded_in_bytes():
+    """Long words and joins take no more room than short ones."""
+    from sys import getsizeof
+
+    enc = bpe.Encoder(WORD_BPE)
+    enc._words._find = enc._odd._find = lambda key: b"\0" * 120
+    for k in range(300_000):
+        enc._words[f"{k:0150d}"]
+        enc._odd[f"ж{k:0150d}"]
+        if k % 10 == 0:
+            enc._joins.put(b"%02000d" % k, True)
+    enc._joins.put(bytes(100 << 20), True)
+    held = [enc._words, enc._words._old, enc._odd, enc._odd._old, enc._joins._young, enc._joins._old]
+    assert sum(getsizeof(x) for d in held for pair in d.items() for x in pair) < 100 << 20
+    assert enc._joins.get(b"%02000d" % 299_990)
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = [*["ж" * 300_000] * 4, None, "", "x" * 2_000_000, *["word "] * 5_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = list(textblock.slices([batch.slice(0, 0), batch], "text"))
+    assert [x for p in got for x in p.column("text").to_pylist()] == texts
+    assert [x for p in got for x in p.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert [len(p) for p in got] == [2, 1, 4, 5_000]
+
+
 def test_plain_odd_and_control_words_side_by_side(library):
     words = [
         "Über", "ÀÉÎ", "it's", "IT'LL", "''s", "12a", "a<b", "x" * 250, "—", "e\u0301a", "\u0301a", "ﬁn", "ΣΑΣ", "İ", "a\u0085b",
